@@ -37,8 +37,9 @@ def table_sums(df: DataFrame, accumulate: Accumulate) -> np.ndarray:
 
     parts = df.mapInPandas(partial, "slot int, salt int, part array<double>, shape array<int>")
     vectors = parts.select("slot", "salt", "shape", array_to_vector("part").alias("part"))
-    salted = vectors.groupBy("slot", "salt", "shape").agg(Summarizer.sum(F.col("part")).alias("part"))
-    rows = salted.groupBy("slot", "shape").agg(Summarizer.sum(F.col("part")).alias("part")).collect()
+    if df.rdd.getNumPartitions() > MERGE_SALTS:
+        vectors = vectors.groupBy("slot", "salt", "shape").agg(Summarizer.sum(F.col("part")).alias("part"))
+    rows = vectors.groupBy("slot", "shape").agg(Summarizer.sum(F.col("part")).alias("part")).collect()
     if not rows:
         raise ValueError("no rows to add up")
     rows.sort(key=lambda r: r["slot"])

@@ -35,8 +35,7 @@ def keep_words(
     if words_must_be_alpha:
         tests.append(lambda t: t.rlike(ALPHA_PATTERN))
     if stop_words:
-        fixed = F.array(*[F.lit(w.lower()) for w in stop_words])
-        tests.append(lambda t: ~F.array_contains(fixed, F.lower(t)))
+        tests.append(lambda t: ~F.lower(t).isin(*[w.lower() for w in stop_words]))
     if not tests:
         return tokens
 

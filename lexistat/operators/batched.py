@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from lexistat.functions.sums import matrix, table_sums
 from lexistat.operators.preprocess import Prep, TrainSums, class_scores, fit_map, keep_mask
 
-BLOCK_NUMBERS = 4_000_000  # weights of one block of models
+BLOCK_NUMBERS = 4_000_000  # sums that one job adds up: weights, or curvatures for Newton steps
+NEWTON_JOBS, GRADIENT_JOBS = 10, 60  # jobs that one block of models usually takes
 CHUNK_NUMBERS = 4_000_000  # scores of one chunk of rows
 MEMORY = 8
 
@@ -122,8 +123,14 @@ def train_models(
 ) -> list[Fitted]:
     """Fit all models. `data` has features, ys, folds and, for inner models, inners."""
     heads = 1 if classes == 2 else classes
-    block = max(1, BLOCK_NUMBERS // (heads * (d + 1)))
-    gram = _total_gram(data)
+    weights = heads * (d + 1)
+    curvature = weights * (d + 1) * (1 if loss == "squared_hinge" else heads)
+    # Newton steps need few jobs but many sums per model; otherwise only gradients are added up.
+    newton_blocks = -(-len(specs) * curvature // BLOCK_NUMBERS)
+    gradient_blocks = -(-len(specs) * weights // BLOCK_NUMBERS)
+    newton = curvature <= BLOCK_NUMBERS and newton_blocks * NEWTON_JOBS <= gradient_blocks * GRADIENT_JOBS
+    block = max(1, BLOCK_NUMBERS // (curvature if newton else weights))
+    gram = None if newton else _total_gram(data)
     fitted: list[Fitted] = []
     for start in range(0, len(specs), block):
         part = specs[start:start + block]
@@ -142,7 +149,7 @@ def _total_gram(data: DataFrame) -> np.ndarray:
 
 def _train_block(
     data: DataFrame, specs: list[ModelSpec], classes: int, heads: int, d: int, n_folds: int, loss: str,
-    gram: np.ndarray, max_iter: int, tol: float,
+    gram: np.ndarray | None, max_iter: int, tol: float,
 ) -> list[Fitted]:
     sums = _statistics(data, specs, classes, d, n_folds)
     size = np.array([s.n for s in sums])
@@ -159,63 +166,119 @@ def _train_block(
         ridge[:, 0] = 0.0  # the intercept is free; the SVM penalises it
     scale = np.array([1.0 / s.c for s in specs])[:, None] * ridge  # per unit of summed loss
 
-    # A bound of the curvature of every loss, from the sums over all rows: the shape of each step.
-    bend = {"logistic": 0.25 if classes == 2 else 0.5, "squared_hinge": 2.0}[loss]
-    curve = np.einsum("mij,jk,mlk->mil", t, gram * bend, t)
-    idx = np.arange(q + 1)
-    curve[:, idx, idx] += scale + 1e-9
-    inverse = np.linalg.inv(curve)
+    newton = gram is None
+    q1 = q + 1
 
-    def evaluate(w: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def evaluate(w: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         chosen = [specs[m] for m in active]
-        raw = np.einsum("mhi,mij->mhj", w[active], t[active])  # weights on [1 x]
-        run = _loss_job(chosen, raw, classes, loss, n_folds)
-        got = table_sums(data, run)
-        value = got[:, 0] + 0.5 * (scale[active][:, None, :] * w[active] ** 2).sum((1, 2))
-        slope = got[:, 1:].reshape(len(active), heads, d + 1)
-        grad = np.einsum("mij,mhj->mhi", t[active], slope) + scale[active][:, None, :] * w[active]
-        return value, grad
-
-    w = _minimise(evaluate, np.zeros((len(specs), heads, q + 1)), inverse, size, max_iter, tol)
+        ta, penalty = t[active], scale[active]
+        raw = np.einsum("mhi,mij->mhj", w[active], ta)  # weights on [1 x]
+        got = table_sums(data, _loss_job(chosen, raw, loss, n_folds, newton))
+        value = got[:, 0] + 0.5 * (penalty[:, None, :] * w[active] ** 2).sum((1, 2))
+        end = 1 + heads * (d + 1)
+        slope = got[:, 1:end].reshape(len(active), heads, d + 1)
+        grad = np.einsum("mij,mhj->mhi", ta, slope) + penalty[:, None, :] * w[active]
+        if not newton:
+            return value, grad, None
+        blocks = got[:, end:].reshape(len(active), -1, d + 1, d + 1)
+        bent = np.einsum("mij,mpjk,mlk->mpil", ta, blocks, ta, optimize=True)
+        return value, grad, _newton_steps(bent, grad, penalty, heads, loss)
+
+    start = np.zeros((len(specs), heads, q1))
+    if newton:
+        w = _newton(evaluate, start, size, max_iter, tol)
+    else:
+        # A bound of the curvature of every loss, from the sums over all rows: the shape of each step.
+        bend = {"logistic": 0.25 if classes == 2 else 0.5, "squared_hinge": 2.0}[loss]
+        curve = np.einsum("mij,jk,mlk->mil", t, gram * bend, t, optimize=True)
+        idx = np.arange(q1)
+        curve[:, idx, idx] += scale + 1e-9
+        w = _minimise(evaluate, start, np.linalg.inv(curve), size, max_iter, tol)
     raw = np.einsum("mhi,mij->mhj", w, t)
     return [Fitted(r[:, 1:], r[:, 0]) for r in raw]
 
 
+def _newton_steps(
+    bent: np.ndarray, grad: np.ndarray, penalty: np.ndarray, heads: int, loss: str
+) -> np.ndarray:
+    """The step of every model: minus the inverse curvature times the gradient."""
+    models, _, q1 = grad.shape
+    idx = np.arange(q1)
+    tiny = 1e-9
+    if loss == "squared_hinge" or heads == 1:
+        bent[:, :, idx, idx] += penalty[:, None, :] + tiny
+        return -np.linalg.solve(bent, grad[..., None])[..., 0]
+    full = bent.reshape(models, heads, heads, q1, q1).transpose(0, 1, 3, 2, 4).reshape(
+        models, heads * q1, heads * q1).copy()
+    wide = np.arange(heads * q1)
+    full[:, wide, wide] += np.tile(penalty, heads) + 1e-6
+    return -np.linalg.solve(full, grad.reshape(models, -1, 1)).reshape(grad.shape)
+
+
+def _newton(evaluate: Callable, w: np.ndarray, size: np.ndarray, max_iter: int, tol: float) -> np.ndarray:
+    """Newton steps, halved per model while its loss does not fall; one job per round."""
+    models = len(w)
+    value, grad, direction = evaluate(w, np.arange(models))
+    step = np.ones(models)
+    for _ in range(max_iter):
+        still = np.flatnonzero((np.abs(grad).max((1, 2)) > tol * size) & (step > 1e-10))
+        if not len(still):
+            break
+        trial = w.copy()
+        trial[still] += step[still, None, None] * direction[still]
+        new_value, new_grad, new_direction = evaluate(trial, still)
+        slope = (grad[still] * direction[still]).sum((1, 2))
+        good = new_value <= value[still] + 1e-4 * step[still] * slope + 1e-10 * np.abs(value[still])
+        took = still[good]
+        w[took], value[took], grad[took], direction[took] = (
+            trial[took], new_value[good], new_grad[good], new_direction[good])
+        step[took] = 1.0
+        step[still[~good]] *= 0.5
+    return w
+
+
 def _loss_job(
-    specs: list[ModelSpec], raw: np.ndarray, classes: int, loss: str, n_folds: int
+    specs: list[ModelSpec], raw: np.ndarray, loss: str, n_folds: int, curvature: bool
 ) -> Callable[[pd.DataFrame], np.ndarray]:
+    """Per model: the loss, its gradient on [1 x], and on request its curvature, over training rows."""
     models, heads, width = raw.shape
     flat = raw.reshape(models * heads, width)
+    pairs = heads if loss == "squared_hinge" or heads == 1 else heads * heads
+    extra = pairs * width * width if curvature else 0
 
     def accumulate(batch: pd.DataFrame) -> np.ndarray:
-        total = np.zeros((models, 1 + heads * width))
-        for part in _chunks(batch, models * heads):
+        total = np.zeros((models, 1 + heads * width + extra))
+        for part in _chunks(batch, max(models * (pairs if curvature else heads), width * width)):
             x1, labels, train, _ = _masks(part, specs, n_folds)
+            keep = train.astype(float)[:, :, None]
             score = (x1 @ flat.T).reshape(len(x1), models, heads)
             if loss == "logistic" and heads == 1:
-                s = score[:, :, 0]
-                value = np.logaddexp(0.0, s) - labels * s
-                pull = (1.0 / (1.0 + np.exp(-np.clip(s, -500, 500))) - labels)[:, :, None]
+                y = labels[:, :, None]
+                chance = 1.0 / (1.0 + np.exp(-np.clip(score, -500, 500)))
+                value = np.logaddexp(0.0, score) - y * score
+                pull, bend = chance - y, chance * (1.0 - chance)
             elif loss == "logistic":
                 top = score.max(axis=2, keepdims=True)
                 e = np.exp(score - top)
                 sum_e = e.sum(axis=2, keepdims=True)
-                own = np.take_along_axis(score, labels[:, :, None], axis=2)[:, :, 0]
-                value = np.log(sum_e[:, :, 0]) + top[:, :, 0] - own
-                pull = e / sum_e
-                np.put_along_axis(
-                    pull, labels[:, :, None], np.take_along_axis(pull, labels[:, :, None], 2) - 1.0, axis=2
-                )
+                chance = e / sum_e
+                own = labels[:, :, None] == np.arange(heads)
+                value = np.log(sum_e) + top - (score * own).sum(axis=2, keepdims=True)
+                pull = chance - own
+                bend = chance[:, :, :, None] * (np.eye(heads) - chance[:, :, None, :]) if curvature else None
             else:
                 target = labels[:, :, None] == (np.array([1]) if heads == 1 else np.arange(heads))
                 side = np.where(target, 1.0, -1.0)
                 gap = np.maximum(1.0 - side * score, 0.0)
-                value = (gap**2).sum(axis=2)
-                pull = -2.0 * side * gap
-            keep = train.astype(float)
-            total[:, 0] += (value * keep).sum(0)
-            pulled = (pull * keep[:, :, None]).reshape(len(x1), models * heads)
-            total[:, 1:] += (pulled.T @ x1).reshape(models, heads * width)
+                value, pull, bend = gap**2, -2.0 * side * gap, 2.0 * (gap > 0)
+            total[:, 0] += (value * keep).sum((0, 2))
+            pulled = (pull * keep).reshape(len(x1), models * heads)
+            total[:, 1:1 + heads * width] += (pulled.T @ x1).reshape(models, heads * width)
+            if curvature:
+                weight = bend.reshape(len(x1), models, pairs) * keep
+                products = (x1[:, :, None] * x1[:, None, :]).reshape(len(x1), -1)
+                total[:, 1 + heads * width:] += (
+                    weight.reshape(len(x1), -1).T @ products).reshape(models, extra)
         return total
 
     return accumulate
@@ -227,7 +290,7 @@ def _minimise(
     """Limited-memory quasi-Newton steps for all models at once; each evaluation is one Spark job."""
     models = len(w)
     everyone = np.arange(models)
-    value, grad = evaluate(w, everyone)
+    value, grad, _ = evaluate(w, everyone)
     past: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     step = np.ones(models)
     direction = -np.einsum("mij,mhj->mhi", inverse, grad)
@@ -237,7 +300,7 @@ def _minimise(
             break
         trial = w.copy()
         trial[open_models] += step[open_models, None, None] * direction[open_models]
-        new_value, new_grad = evaluate(trial, open_models)
+        new_value, new_grad, _ = evaluate(trial, open_models)
         slope = (grad[open_models] * direction[open_models]).sum((1, 2))
         good = new_value <= value[open_models] + 1e-4 * step[open_models] * slope + 1e-10 * np.abs(
             value[open_models])

@@ -60,36 +60,43 @@ def min_df_rule(n_docs: Column, min_df: int | float | None = None) -> Column:
     return F.when(n_docs >= 20, 2).otherwise(1)
 
 
-def document_terms(text: Column, options: TermOptions) -> Column:
-    """All n-grams of one text; n-grams do not cross from one text into the next."""
+def document_words(text: Column, options: TermOptions) -> Column:
     plain = F.lower(text)
     plain = strip_accents(plain) if options.strip_accents else plain
     words = F.regexp_extract_all(plain, F.lit(TERM_PATTERN), F.lit(0))
     if options.stop_words:
-        stop = F.array(*[F.lit(w) for w in options.stop_words])
-        words = F.filter(words, lambda w: ~F.array_contains(stop, w))
-    low, high = options.ngram_range
-
-    def ngrams(n: int) -> Column:
-        if n == 1:
-            return words
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-            F.expr("cast(array() as array<int>)")
-        )
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-
-    parts = [ngrams(n) for n in range(low, high + 1)]
+        words = F.filter(words, lambda w: ~w.isin(*options.stop_words))
+    return words
+
+
+def word_ngrams(words: Column, low: int, high: int) -> Column:
+    """All n-grams of one text, each made of the shorter one and the word after it."""
+    grams, parts = words, []
+    for n in range(1, high + 1):
+        if n > 1:
+            count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+            grams = F.zip_with(
+                F.slice(grams, F.lit(1), count), F.slice(words, F.lit(n), count),
+                lambda a, b: F.concat(a, F.lit(" "), b),
+            )
+        if n >= low:
+            parts.append(grams)
     return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
+def document_terms(docs: DataFrame, options: TermOptions) -> DataFrame:
+    """(topic_id, term): n-grams do not cross from one text into the next."""
+    words = docs.select("topic_id", document_words(F.col("text"), options).alias("words"))
+    return words.select("topic_id", F.explode(word_ngrams(F.col("words"), *options.ngram_range)).alias("term"))
+
+
 def topic_terms_count(docs: DataFrame, options: TermOptions = TermOptions()) -> DataFrame:
     """(topic_id, term, n, topics): how often each topic uses a term.
 
     The document thresholds count topics, because all texts of a topic together are one document.
     """
     counts = (
-        docs.select("topic_id", F.explode(document_terms(F.col("text"), options)).alias("term"))
-        .groupBy("topic_id", "term").agg(F.count(F.lit(1)).alias("n"))
+        document_terms(docs, options).groupBy("topic_id", "term").agg(F.count(F.lit(1)).alias("n"))
     )
     size = docs.agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("topic_id").alias("topics")).first()
     low = options.min_df if options.min_df is not None else (2 if size["docs"] >= 20 else 1)
@@ -102,7 +109,11 @@ def topic_terms_count(docs: DataFrame, options: TermOptions = TermOptions()) ->
 
 
 def ctfidf(counts: DataFrame, reduce_frequent_words: bool = True) -> DataFrame:
-    """(topic_id, term, n, score): class-based tf-idf."""
+    """(topic_id, term, n, score): class-based tf-idf.
+
+    The counts are read three times, so they are kept; they are far smaller than the texts.
+    """
+    counts = counts.persist()
     totals = counts.groupBy("topic_id").agg(F.sum("n").alias("terms"))
     whole = totals.agg(F.sum("terms").alias("s"), F.count(F.lit(1)).alias("k")).first()
     mean_terms = float(int((whole["s"] or 0) / (whole["k"] or 1)))
