@@ -9,6 +9,7 @@ is the same number, but no task holds more than one slice.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,24 +46,13 @@ def number_by_hash(
     ).drop("_n")
     inside = Window.partitionBy(*groups, "_slice").orderBy(order_hash, *tie_break)
     numbered = sliced.withColumn("_inside", F.row_number().over(inside))
-    on = [numbered[g].eqNullSafe(before[g]) for g in (*groups, "_slice")]
-    joined = numbered.join(before, _all(on), "inner")
+    if not groups and slice_digits <= SLICE_DIGITS:
+        before = F.broadcast(before)  # one row per slice: at most 16 ** slice_digits
+    nullable = {f.name for f in df.schema.fields if f.nullable}
+    on = [
+        numbered[g].eqNullSafe(before[g]) if g in nullable else numbered[g] == before[g]
+        for g in (*groups, "_slice")
+    ]
+    joined = numbered.join(before, reduce(lambda a, b: a & b, on), "inner")
     kept = [numbered[c] for c in df.columns]
-    return joined.select(
-        *kept, (F.col("_inside") + F.col("_before")).cast("bigint").alias(name)
-    )
-
-
-def number_groups(
-    df: DataFrame, orders: Sequence[Column], groups: Sequence[str] = (), name: str = "rank"
-) -> DataFrame:
-    """Row numbers for an already aggregated table (one row per class, topic or distinct value)."""
-    window = Window.partitionBy(*groups).orderBy(*orders)
-    return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-
-
-def _all(tests: Sequence[Column]) -> Column:
-    verdict = tests[0]
-    for test in tests[1:]:
-        verdict = verdict & test
-    return verdict
+    return joined.select(*kept, (F.col("_inside") + F.col("_before")).cast("bigint").alias(name))
