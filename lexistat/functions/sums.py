@@ -37,7 +37,7 @@ def table_sums(df: DataFrame, accumulate: Accumulate) -> np.ndarray:
 
     parts = df.mapInPandas(partial, "slot int, salt int, part array<double>, shape array<int>")
     vectors = parts.select("slot", "salt", "shape", array_to_vector("part").alias("part"))
-    if df.rdd.getNumPartitions() > MERGE_SALTS:
+    if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > MERGE_SALTS:
         vectors = vectors.groupBy("slot", "salt", "shape").agg(Summarizer.sum(F.col("part")).alias("part"))
     rows = vectors.groupBy("slot", "shape").agg(Summarizer.sum(F.col("part")).alias("part")).collect()
     if not rows:

@@ -23,6 +23,9 @@ def l2_norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """Unit length; a zero vector stays zero."""
-    norm = l2_norm(v)
-    return F.when(norm > 0, F.transform(as_double(v), lambda x: x / norm)).otherwise(as_double(v))
+    """Unit length; a zero vector stays zero. The norm is found once per vector, not per element."""
+    values = as_double(v)
+    return F.aggregate(
+        values, F.lit(0.0), lambda acc, x: acc + x * x,
+        lambda acc: F.when(acc > 0, F.transform(values, lambda x: x / F.sqrt(acc))).otherwise(values),
+    )

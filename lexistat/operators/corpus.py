@@ -116,6 +116,9 @@ def corpus_overall(
 def descriptive_stats(
     texts: DataFrame, options: StatsOptions = StatsOptions(), lexicon: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(row statistics, corpus statistics) of stacked texts."""
-    stats = text_row_stats(texts, options, lexicon)
+    """(row statistics, corpus statistics) of stacked texts.
+
+    The row statistics are a few numbers per text and are read several times, so they are kept.
+    """
+    stats = text_row_stats(texts, options, lexicon).persist()
     return stats, corpus_overall(stats, vocabulary_rows(texts, options, lexicon), options)

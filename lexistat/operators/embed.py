@@ -50,47 +50,43 @@ def embed_text(
     return embedded
 
 
-def word_buckets(word: Column, dim: int, seed: int) -> tuple[Column, Column]:
-    """(bucket, sign) of a word, from the hash of seed:word."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), word))
+def word_hash(word: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.lower(word)))
+
+
+def hash_place(digest: Column, dim: int) -> tuple[Column, Column]:
+    """(bucket, sign) of a word from its hash."""
     bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim
-    sign = F.when(F.substring(digest, 9, 1) < "8", F.lit(1)).otherwise(F.lit(-1))
-    return bucket, sign.cast("bigint")
+    return bucket, F.when(F.substring(digest, 9, 1) < "8", F.lit(1)).otherwise(F.lit(-1)).cast("bigint")
 
 
 def hashing_embedding(texts: DataFrame, dim: int = 256, seed: int = 42) -> DataFrame:
     """(source_column, index, bucket, value): signed word counts per bucket, zeros left out."""
-    words = text_words(texts, StatsOptions()).select(
+    hashes = text_words(texts, StatsOptions()).select(
         "source_column", "index", F.explode("words").alias("word")
-    )
-    bucket, sign = word_buckets(F.lower("word"), dim, seed)
-    summed = words.select("source_column", "index", bucket.alias("bucket"), sign.alias("value"))
+    ).withColumn("hash", word_hash(F.col("word"), seed))
+    bucket, sign = hash_place(F.col("hash"), dim)
+    summed = hashes.select("source_column", "index", bucket.alias("bucket"), sign.alias("value"))
     return (
         summed.groupBy("source_column", "index", "bucket").agg(F.sum("value").alias("value"))
-        .where("value != 0")
+        .where("value <> 0")
     )
 
 
 def hashed_text(texts: DataFrame, dim: int = 256, seed: int = 42) -> DataFrame:
-    """The same vector as a dense column, computed inside the row: no shuffle.
-
-    The words of one text are folded into a map from bucket to count, then laid out over 0..dim-1.
-    """
-    def place(word: Column) -> Column:
-        bucket, sign = word_buckets(F.lower(word), dim, seed)
-        return F.struct(bucket.cast("int").alias("b"), sign.cast("double").alias("s"))
-
-    placed = text_words(texts, StatsOptions()).withColumn("_placed", F.transform("words", place))
+    """The same vector as a dense column, computed inside the row: no shuffle."""
+    hashes = F.transform("words", lambda w: word_hash(w, seed))
 
     @F.pandas_udf("array<double>")
-    def dense(buckets: pd.Series, signs: pd.Series) -> pd.Series:
-        return pd.Series(
-            [np.bincount(np.asarray(b, dtype=int), weights=s, minlength=dim) for b, s in zip(buckets, signs)]
-        )
+    def dense(column: pd.Series) -> pd.Series:
+        def layout(digests: np.ndarray) -> np.ndarray:
+            buckets = np.array([int(h[:8], 16) % dim for h in digests], dtype=int)
+            signs = np.array([1.0 if h[8] < "8" else -1.0 for h in digests])
+            return np.bincount(buckets, weights=signs, minlength=dim)
 
-    return placed.withColumn("embedding", dense(F.col("_placed.b"), F.col("_placed.s"))).drop(
-        "words", "_placed"
-    )
+        return column.map(layout)
+
+    return text_words(texts, StatsOptions()).withColumn("embedding", dense(hashes)).drop("words")
 
 
 def join_embeddings(texts: DataFrame, embeddings: DataFrame, key: str, vector: str) -> DataFrame:

@@ -156,15 +156,10 @@ def labelled_rows(
         outers = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
         train = dealt.withColumn("outer", outers).where("fold <> outer")
         nested = _deal(train.drop("fold"), inner_k, f"{seed}:inner", ["perm", "outer"], by_label, grouped, "g")
-        place = F.col("perm") * k + F.col("outer")
-        width = (n_perm + 1 if by_label else 1) * k
-        per_row = nested.groupBy("key").agg(
-            F.map_from_entries(F.collect_list(F.struct(place.alias("at"), F.col("g")))).alias("_g")
-        )
-        tables.append(per_row.select("key", F.transform(
-            F.sequence(F.lit(0), F.lit(width - 1)),
-            lambda i: F.coalesce(F.try_element_at(F.col("_g"), i), F.lit(-1)),
-        ).alias("inners")))
+        held = dealt.select("key", "perm", F.col("fold").alias("outer"), F.lit(-1).alias("g"))
+        complete = nested.select("key", "perm", "outer", "g").unionByName(held).withColumn(
+            "at", F.col("perm") * k + F.col("outer"))
+        tables.append(complete.groupBy("key").agg(_in_order("at", F.col("g")).alias("inners")))
     out = aligned.select("key", "features")
     for table in tables:
         out = out.join(table, "key")
