@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark import TaskContext
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ def table_sums(df: DataFrame, accumulate: Accumulate) -> np.ndarray:
             total = part if total is None else total + part
         if total is not None:
             rows = total.reshape(total.shape[0], -1)
-            salt = int(np.random.randint(MERGE_SALTS))
+            salt = TaskContext.get().partitionId() % MERGE_SALTS
             yield pd.DataFrame(
                 {"slot": np.arange(len(rows)), "salt": salt, "part": list(rows),
                  "shape": [list(total.shape)] * len(rows)}
@@ -39,11 +40,14 @@ def table_sums(df: DataFrame, accumulate: Accumulate) -> np.ndarray:
     vectors = parts.select("slot", "salt", "shape", array_to_vector("part").alias("part"))
     if int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) > MERGE_SALTS:
         vectors = vectors.groupBy("slot", "salt", "shape").agg(Summarizer.sum(F.col("part")).alias("part"))
-    rows = vectors.groupBy("slot", "shape").agg(Summarizer.sum(F.col("part")).alias("part")).collect()
-    if not rows:
+    merged = vectors.groupBy("slot", "shape").agg(
+        vector_to_array(Summarizer.sum(F.col("part"))).alias("part")
+    ).toArrow()
+    if not merged.num_rows:
         raise ValueError("no rows to add up")
-    rows.sort(key=lambda r: r["slot"])
-    return np.stack([r["part"].toArray() for r in rows]).reshape(rows[0]["shape"])
+    merged = merged.sort_by("slot").combine_chunks()
+    shape = merged["shape"][0].as_py()
+    return merged["part"].combine_chunks().flatten().to_numpy().reshape(shape)
 
 
 def matrix(column: pd.Series) -> np.ndarray:

@@ -81,7 +81,7 @@ def corpus_averages(stats: DataFrame, split: str = "both", mode: str = "unweight
 
 def pos_distribution(stats: DataFrame, split: str = "both") -> DataFrame:
     """(corpus, pos, n) over all rows."""
-    tags = stats.select("source_column", F.explode("pos_full").alias("pos", "n"))
+    tags = stats.select("source_column", F.explode_outer("pos_full").alias("pos", "n")).where("pos IS NOT NULL")
     return by_corpus(tags, split, F.sum("n").alias("n"), extra=("pos",))
 
 

@@ -62,9 +62,11 @@ def hash_place(digest: Column, dim: int) -> tuple[Column, Column]:
 
 def hashing_embedding(texts: DataFrame, dim: int = 256, seed: int = 42) -> DataFrame:
     """(source_column, index, bucket, value): signed word counts per bucket, zeros left out."""
+    # The outer form keeps the planner from testing every word list below the scan, which would
+    # split each text once more.
     hashes = text_words(texts, StatsOptions()).select(
-        "source_column", "index", F.explode("words").alias("word")
-    ).withColumn("hash", word_hash(F.col("word"), seed))
+        "source_column", "index", F.explode_outer("words").alias("word")
+    ).where("word IS NOT NULL").withColumn("hash", word_hash(F.col("word"), seed))
     bucket, sign = hash_place(F.col("hash"), dim)
     summed = hashes.select("source_column", "index", bucket.alias("bucket"), sign.alias("value"))
     return (

@@ -112,8 +112,8 @@ def _tag_count(tags: Sequence[str]) -> Column:
 
 def _lexicon_stats(texts: DataFrame, options: StatsOptions, lexicon: DataFrame) -> DataFrame:
     forms = (
-        texts.select(*KEYS, F.explode("words").alias("token"))
-        .groupBy(*KEYS, "token")
+        texts.select(*KEYS, F.explode_outer("words").alias("token"))  # outer: see hashing_embedding
+        .where("token IS NOT NULL").groupBy(*KEYS, "token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     annotated = annotate_tokens(forms, lexicon)

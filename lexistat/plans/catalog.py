@@ -328,7 +328,7 @@ def hashing_embedding(spark, sf):
 def embedded_documents(spark, sf):
     """Hashed vectors of unit length, summed up per document."""
     vectors = embed.embed_text(document_texts(spark, sf), dim=64)
-    return vectors.select("source_column", "index", F.posexplode("embedding").alias("bucket", "value")).where(
+    return vectors.select("source_column", "index", F.posexplode_outer("embedding").alias("bucket", "value")).where(
         "value <> 0").select("source_column", "index", "bucket", r6("value").alias("value"))
 
 
@@ -356,14 +356,14 @@ def _conversation_vectors(spark, sf):
 @query
 def mean_pool_by_row(spark, sf):
     pooled = embed.mean_pool_by_row(_conversation_vectors(spark, sf))
-    return pooled.select("index", F.posexplode("embedding").alias("bucket", "value")).where(
+    return pooled.select("index", F.posexplode_outer("embedding").alias("bucket", "value")).where(
         "abs(value) > 1e-9").select("index", "bucket", r6("value").alias("value"))
 
 
 @query
 def select_feature_set(spark, sf):
     chosen = embed.select_feature_set(_conversation_vectors(spark, sf), "assistant")
-    return chosen.select("index", F.posexplode("embedding").alias("bucket", "value")).where("value <> 0")
+    return chosen.select("index", F.posexplode_outer("embedding").alias("bucket", "value")).where("value <> 0")
 
 
 @query
