@@ -35,11 +35,16 @@ def words_of(text: Column) -> Column:
 def settle(df: DataFrame) -> DataFrame:
     """Write a frame as Parquet to the shared checkpoint folder and read it back: a lineage cut that any
     executor can read again. The files go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "table")
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the checkpoint folder of the cluster; what is written there goes when the driver ends."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:

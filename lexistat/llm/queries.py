@@ -7,12 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexistat.llm import quality, sharding
+from lexistat.llm import packing, quality, sharding, tokenfiles
+from lexistat.llm.frames import shared_path
+from lexistat.llm.tokens import vocabulary_path
 from lexistat.plans.inputs import table
 
 SHARDS = 8
 
 
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, vocabulary_path("word_bpe_49k.json"))
+
+
+def op4_token_output(spark: SparkSession, folder: str) -> DataFrame:
+    docs, path = table(spark, folder, "documents").select("doc_id", "text"), shared_path(spark, "tokens")
+    tokenfiles.write_tokens(docs, vocabulary_path("byte_bpe_50k.json"), path)
+    read = tokenfiles.checksum(tokenfiles.read_tokens(spark, path))
+    return tokenfiles.token_index(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     placed = sharding.shard_layout(docs, SHARDS)
@@ -28,5 +42,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_sharding, op10_quality_rules)
+    f.__name__: f for f in (op3_best_fit_packing, op4_token_output, op5_sharding, op10_quality_rules)
 }
