@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexistat.llm import jaccard, packing, quality, sharding, tokenfiles
+from lexistat.llm import jaccard, packing, quality, sharding, substrings, tokenfiles
 from lexistat.llm.frames import shared_path
 from lexistat.llm.tokens import vocabulary_path
 from lexistat.plans.inputs import table
@@ -15,6 +15,10 @@ from lexistat.plans.inputs import table
 SHARDS = 8
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeat_digests(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, vocabulary_path("word_bpe_49k.json"))
@@ -46,5 +50,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_best_fit_packing, op4_token_output, op5_sharding, op9_ngram_jaccard, op10_quality_rules)
+    f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_token_output, op5_sharding, op9_ngram_jaccard, op10_quality_rules)
 }
