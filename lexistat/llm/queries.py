@@ -28,7 +28,7 @@ def op4_token_output(spark: SparkSession, folder: str) -> DataFrame:
     docs, path = table(spark, folder, "documents").select("doc_id", "text"), shared_path(spark, "tokens")
     tokenfiles.write_tokens(docs, vocabulary_path("byte_bpe_50k.json"), path)
     read = tokenfiles.checksum(tokenfiles.read_tokens(spark, path))
-    return tokenfiles.token_index(read).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return tokenfiles.token_index(read, tokenfiles.read_layout(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:

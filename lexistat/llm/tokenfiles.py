@@ -88,9 +88,10 @@ def checksum(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(digest, "doc_id bigint, part int, place bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def token_index(rows: DataFrame) -> DataFrame:
-    """Add `start`, the number of ids before each document: running sums inside a part, sums of the parts before."""
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("_all"))
+def token_index(rows: DataFrame, layout: DataFrame) -> DataFrame:
+    """Add `start`, the number of ids before each document: running sums inside a part, and the sums of the parts
+    before from the layout, which is read without the tokens."""
+    parts = layout.groupBy("part").agg(F.sum("n_tokens").alias("_all"))
     before = parts.select(
         F.col("part").alias("_part"),  # one row for each file
         F.coalesce(F.sum("_all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
