@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexistat.llm import jaccard, packing, quality, sharding, substrings, tokenfiles
+from lexistat.llm import decontaminate, jaccard, packing, quality, sharding, substrings, tokenfiles
 from lexistat.llm.frames import shared_path
 from lexistat.llm.tokens import vocabulary_path
 from lexistat.plans.inputs import table
@@ -39,6 +39,10 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leak_rows(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -50,5 +54,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_token_output, op5_sharding, op9_ngram_jaccard, op10_quality_rules)
+    f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_token_output, op5_sharding, op6_decontamination, op9_ngram_jaccard, op10_quality_rules)
 }
