@@ -1,8 +1,8 @@
 """Jaccard self-join on word shingles by T-occurrence search with DivideSkip (Li, Lu and Lu, 2008).
 
 A text with n shingles shares at least T = ceil(0.8 n) of them with any partner. Shingles are ordered: first
-those that few documents hold, then the frequent ones. Two partners share at least three of the first
-n - T + 3 shingles of each ("prefix").
+those that few documents hold, then the frequent ones. Two partners share at least s of the first n - T + s shingles
+of each ("prefix"), where s = 3 + n // 10 for the smaller of them.
 
 * Short lists (infrequent shingles) are merged by a shuffle on the shingle: pairs that occur often enough in
   the prefixes are candidates, and their whole sets are compared.
@@ -34,7 +34,7 @@ from lexistat.llm.words import U64, batches, mix, ranges
 
 PERCENT = 80
 FEW = 16  # a shingle of more documents than that is frequent
-SHARED = 3  # shingles that two partners share in their prefixes at least
+SHARED = 3  # shingles that two partners of any size share in their prefixes at least
 HASHES = 4
 FREQUENT_BITS = 1 << 25
 REPEAT_BITS = 1 << 27
@@ -45,6 +45,11 @@ def least_overlap(n: np.ndarray) -> np.ndarray:
     return -(-n * PERCENT // 100)
 
 
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """Shingles that a text's prefix has in common with that of a larger partner at least; at most T."""
+    return SHARED + n // 10
+
+
 def bucket_bits(docs: DataFrame) -> int:
     """Buckets grow with the input: about four for each of its partitions."""
     return max(4, min(24, int(docs.rdd.getNumPartitions() * 4 - 1).bit_length()))
@@ -156,7 +161,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, bits: int) -> DataFrame:
             for k in range(HASHES if len(full) else 0):
                 lows[full, k] = np.minimum.reduceat(mix(flat, 21 + k), first[:-1][full])
             often, again = frequent.hit(frequent_bits, flat), repeat.hit(repeat_bits, flat)
-            size = n - least_overlap(n) + SHARED
+            size = n - least_overlap(n) + least_shared(n)
             prefixes, late = [], []
             for i in range(len(n)):
                 own, f = flat[first[i] : first[i + 1]], often[first[i] : first[i + 1]]
@@ -280,17 +285,18 @@ def short_list_pairs(nodes: DataFrame, bits: int) -> DataFrame:
             i, j = same, same + step
             fit = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= PERCENT * np.maximum(n[i], n[j]))
             i, j = i[fit], j[fit]
-            made.append(np.stack([doc[i], doc[j], np.minimum(np.minimum(frequent[i], frequent[j]), SHARED - 1)], 1))
+            need = least_shared(np.minimum(n[i], n[j])) - np.minimum(frequent[i], frequent[j])
+            made.append(np.stack([doc[i], doc[j], np.maximum(need, 1)], 1))
             step += 1
         pairs, times = np.unique(np.concatenate(made), axis=0, return_counts=True) if made else (
             np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "frequent": pairs[:, 2], "times": times.astype(np.int64)})
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "need": pairs[:, 2], "times": times.astype(np.int64)})
 
     dealt = nodes.where("length(prefix) > 8 * frequent").select("doc", "label", "n", "frequent", "prefix").mapInArrow(
         deal, "bucket int, shingle binary, doc binary, label binary, n binary, frequent binary")
-    found = dealt.groupBy("bucket").applyInArrow(pair, "a bigint, b bigint, frequent bigint, times bigint")
-    return found.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("frequent").alias("frequent")).where(
-        f"times >= {SHARED} - frequent").select("a", "b")
+    found = dealt.groupBy("bucket").applyInArrow(pair, "a bigint, b bigint, need bigint, times bigint")
+    return found.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need")).where(
+        "times >= need").select("a", "b")
 
 
 class Index:
