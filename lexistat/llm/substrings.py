@@ -28,11 +28,14 @@ from lexistat.llm.words import U64, Words, batches, mix, ranges, text_bytes, win
 
 WINDOW = 13
 GRAM = 6
+PIECE = 64
 BATCH_BYTES = 8_000_000
 
 
 def runs(words: Words, hashed: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """(text, first word, windows, anchor) of the maximal runs of windows that have the same anchor."""
+    """(text, first word, windows, anchor) of the maximal runs of windows that have the same anchor.
+
+    Runs of more than PIECE windows are cut: a word repeated for pages then gives equal pieces, sent once."""
     gram = min(GRAM, window)
     low = window_hashes(hashed, gram)
     width, reach = window - gram + 1, 1
@@ -47,6 +50,8 @@ def runs(words: Words, hashed: np.ndarray, window: int = WINDOW) -> tuple[np.nda
         return text, at, at, np.zeros(0, U64)
     anchor = low[at]
     new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])))
+    number = np.diff(np.append(new, len(at)))
+    new = ranges(np.zeros(len(new), np.int64), -(-number // PIECE)) * PIECE + np.repeat(new, -(-number // PIECE))
     return text[new], at[new], np.diff(np.append(new, len(at))), anchor[new]
 
 
