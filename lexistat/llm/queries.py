@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexistat.llm import decontaminate, jaccard, packing, quality, sharding, substrings, tokenfiles
+from lexistat.llm import chat, decontaminate, extraction, jaccard, packing, quality, sharding, substrings, tokenfiles
 from lexistat.llm.frames import shared_path
 from lexistat.llm.tokens import vocabulary_path
 from lexistat.plans.inputs import table
@@ -19,6 +19,13 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeat_digests(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema)
+    return chat.conversation_digests(rows.unionByName(added))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, vocabulary_path("word_bpe_49k.json"))
@@ -43,6 +50,10 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leak_rows(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract_pages(table(spark, folder, "pages"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, folder, "documents").select("doc_id", "text"))
 
@@ -54,5 +65,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_best_fit_packing, op4_token_output, op5_sharding, op6_decontamination, op9_ngram_jaccard, op10_quality_rules)
+    f.__name__: f for f in (op1_substring_dedup, op2_chat_formatting, op3_best_fit_packing, op4_token_output, op5_sharding, op6_decontamination, op8_html_extraction, op9_ngram_jaccard, op10_quality_rules)
 }
