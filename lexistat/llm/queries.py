@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexistat.llm import chat, decontaminate, extraction, jaccard, packing, quality, sharding, substrings, tokenfiles
+from lexistat.llm import chat, decontaminate, extraction, jaccard, lmscore, packing, quality, sharding, substrings, tokenfiles
 from lexistat.llm.frames import shared_path
 from lexistat.llm.tokens import vocabulary_path
 from lexistat.plans.inputs import table
@@ -50,6 +50,10 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leak_rows(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lmscore.score_documents(table(spark, folder, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extraction.extract_pages(table(spark, folder, "pages"))
 
@@ -65,5 +69,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_chat_formatting, op3_best_fit_packing, op4_token_output, op5_sharding, op6_decontamination, op8_html_extraction, op9_ngram_jaccard, op10_quality_rules)
+    f.__name__: f for f in (op1_substring_dedup, op2_chat_formatting, op3_best_fit_packing, op4_token_output, op5_sharding, op6_decontamination, op7_lm_scoring, op8_html_extraction, op9_ngram_jaccard, op10_quality_rules)
 }
