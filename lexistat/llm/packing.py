@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lexistat.functions.ranks import hash_order, number_by_hash
 from lexistat.llm.frames import col, settle
-from lexistat.llm.tokens import Encoder
+from lexistat.llm.tokens import worker_encoder
 from lexistat.llm.words import batches
 
 CAPACITY = 4096
@@ -120,7 +120,7 @@ def token_pieces(
     fields = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         for part in batches(parts, "text"):
             ids, first = encoder.encode(part.column("text"))
             length = np.diff(first) + 1

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexistat.llm.frames import col
-from lexistat.llm.tokens import Encoder
+from lexistat.llm.tokens import worker_encoder
 from lexistat.llm.words import batches
 
 END_ID = 0
@@ -39,7 +39,7 @@ def write_tokens(
     count = partitions or max(slim.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, number, place = Encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, number, place = worker_encoder(vocabulary), TaskContext.get().partitionId(), 0
         for part in batches(parts, "text"):
             ids, first = encoder.encode(part.column("text"))
             n = part.num_rows

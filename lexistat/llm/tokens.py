@@ -8,14 +8,16 @@ pieces, joined, are the ids of the text; equal pieces are encoded once for each
 from __future__ import annotations
 
 import os
+import sys
 from array import array
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 
 from lexistat.llm.words import IS_SPACE, ranges, text_bytes
 
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 600_000
 IS_LETTER, IS_MARK = np.zeros(256, bool), np.zeros(256, bool)
 IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
 IS_MARK[list(b".,;:!?*#$%&)")] = True
@@ -45,6 +47,15 @@ def cut_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(cut), n)
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker. Spark reuses workers for many tasks; functions are sent by value, so
+    what a worker keeps lies in a module of its own, and known pieces serve later tasks too."""
+    kept = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 class Encoder:
     """Encodes columns of texts; keeps the ids of pieces seen before, up to a fixed number of them."""
 
