@@ -22,6 +22,11 @@ def hash_order(seed: object, *keys: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def number_by_hash(
     df: DataFrame,
     order_hash: str,
@@ -50,9 +55,10 @@ def number_by_hash(
         before = F.broadcast(before)  # one row per slice: at most 16 ** slice_digits
     nullable = {f.name for f in df.schema.fields if f.nullable}
     on = [
-        numbered[g].eqNullSafe(before[g]) if g in nullable else numbered[g] == before[g]
+        numbered[quoted(g)].eqNullSafe(before[quoted(g)]) if g in nullable
+        else numbered[quoted(g)] == before[quoted(g)]
         for g in (*groups, "_slice")
     ]
     joined = numbered.join(before, reduce(lambda a, b: a & b, on), "inner")
-    kept = [numbered[c] for c in df.columns]
+    kept = [numbered[quoted(c)] for c in df.columns]
     return joined.select(*kept, (F.col("_inside") + F.col("_before")).cast("bigint").alias(name))
