@@ -135,11 +135,14 @@ class Items:
                 np.minimum(left, np.maximum(end[left] - length, begin[left])),
                 np.maximum(right - length, begin[right - 1]),
             ]))
-            starts = starts[starts + length <= end[starts]]
-            starts = starts[total[starts + length - GRAM + 1] - total[starts] >= need]
+            # A window may run past its text by the edits allowed; it is filled with empty words there.
+            starts = starts[starts + length <= end[starts] + allowed(length, self.percent)]
+            last = np.minimum(starts + length - GRAM + 1, len(total) - 1)
+            starts = starts[total[last] - total[starts] >= need]
             for a in range(0, len(starts), 20_000):
                 own = starts[a : a + 20_000]
-                asked = cgk_keys(hashed[own[:, None] + np.arange(length)])
+                place = own[:, None] + np.arange(length)
+                asked = cgk_keys(np.where(place < end[own][:, None], hashed[np.minimum(place, len(hashed) - 1)], U64(0)))
                 low, high = np.searchsorted(keys, asked), np.searchsorted(keys, asked, "right")
                 for w, t in zip(*np.nonzero(high > low)):
                     found.update((int(i), int(own[w])) for i in items[low[w, t] : high[w, t]])
