@@ -38,6 +38,7 @@ SHARED = 3  # shingles that two partners of any size share in their prefixes at
 HASHES = 4
 FREQUENT_BITS = 1 << 25
 REPEAT_BITS = 1 << 27
+WANTED_BITS = 1 << 25
 BLOCK = 256
 
 
@@ -184,19 +185,50 @@ def sketches(docs: DataFrame, doc_id: str, text: str, bits: int) -> DataFrame:
     return docs.select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text")).mapInArrow(sketch, fields)
 
 
-def whole_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(doc, shingles) of the documents in `wanted` (doc), from their whole texts."""
+def id_filter(wanted: DataFrame) -> tuple[np.ndarray, Filter]:
+    """Bits of the documents in `wanted` (doc), 4 MB in all whatever their number."""
+    bits = 6
+    known = Filter(bits, WANTED_BITS)
 
-    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches(parts, "text", 1_000_000):
-            flat, first = shingle_sets(part.column("text"))
+    def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            hashes = mix(part.column("doc").to_numpy().astype(U64))
+            rows = list(by_bucket(hashes >> U64(64 - bits), rest_of(hashes, bits)))
             yield pa.RecordBatch.from_arrays([
-                part.column("doc"),
-                pa.array([flat[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary()),
-            ], ["doc", "shingles"])
+                pa.array([k for k, _ in rows], pa.int32()), pa.array([v[0] for _, v in rows], pa.binary())
+            ], ["bucket", "rest"])
+
+    def mark(table: pa.Table) -> pa.Table:
+        return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()),
+                         "bits": pa.array([known.slice_of(joined(table, "rest", np.uint32))], pa.binary())})
+
+    found = wanted.select("doc").mapInArrow(deal, "bucket int, rest binary").groupBy("bucket").applyInArrow(
+        mark, "bucket int, bits binary").collect()
+    return known.whole({r.bucket: bytes(r.bits) for r in found}), known
 
-    rows = docs.select(col(doc_id).cast("bigint").alias("doc"), col(text).alias("text"))
-    return rows.join(wanted, "doc", "left_semi").mapInArrow(sets, "doc bigint, shingles binary")
+
+def whole_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(doc, shingles) of the documents in `wanted` (doc), from their whole texts.
+
+    A filter of fixed size picks the documents while they are read, so texts are never shuffled; what it lets
+    through besides is dropped by the join of the sets.
+    """
+    bits, known = id_filter(wanted)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
+
+    def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids = part.column("doc").to_numpy(zero_copy_only=False)
+            part = part.filter(pa.array(known.hit(sent.value, mix(ids.astype(np.int64).astype(U64)))))
+            for own in batches(iter([part]), "text", 1_000_000):
+                flat, first = shingle_sets(own.column("text"))
+                yield pa.RecordBatch.from_arrays([
+                    own.column("doc"),
+                    pa.array([flat[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary()),
+                ], ["doc", "shingles"])
+
+    rows = docs.select(col(doc_id).cast("bigint").alias("doc"), col(text).alias("text")).where("doc is not null")
+    return rows.mapInArrow(sets, "doc bigint, shingles binary").join(wanted, "doc", "left_semi")
 
 
 def linked(overlap: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
