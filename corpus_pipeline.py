@@ -32,7 +32,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Of documents linked by similar shingle sets, the one with the smallest doc_id; of rows with equal ids, one."""
     groups = jaccard.similar_groups(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # The ids kept grow with the documents: they are merged, never broadcast.
+    known = docs.where("doc_id is not null").join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.union(docs.where("doc_id is null")).select(*[col(c) for c in docs.columns])
 
 

@@ -142,7 +142,7 @@ def quality_rules(
     gone_names = {c: free_name(docs, f"_lost_{c}") for c in ("doc", "mark", "host", "lost")}
     gone = gone.toDF(*gone_names.values())
     joined = counted.join(
-        gone,
+        gone.hint("merge"),  # grows with the documents
         col(doc_id).eqNullSafe(col(gone_names["doc"])) & (col(mark) == col(gone_names["mark"]))
         & col(host).eqNullSafe(col(gone_names["host"])), "left",
     )
