@@ -173,10 +173,16 @@ class Items:
             else:
                 known.append([a, b])
         for (item, first), areas in regions.items():
-            own, best = self.words[item], None
+            own, best, most = self.words[item], None, allowed(len(self.words[item]), self.percent)
             for a, b in areas:
+                area = np.sort(hashed[a:b])
+                there = area[np.minimum(np.searchsorted(area, own), b - a - 1)] == own
+                if len(own) - there.sum() > most:  # each word that is missing costs an edit
+                    continue
+                if last_row(own, hashed[a:b]).min() > most:
+                    continue
                 distance, x, y = best_match(own, hashed[a:b])
-                if distance <= allowed(len(own), self.percent) and (best is None or distance < best[0]):
+                if best is None or distance < best[0]:
                     best = distance, a + x, a + y
             if best:
                 text = int(np.searchsorted(words.first, first, "right")) - 1
