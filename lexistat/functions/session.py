@@ -29,15 +29,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast a side only after its size is known; a larger one keeps the planner's join."""
-    from pyspark.sql import functions as F
-
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores when a small input arrives in fewer partitions than there are cores.
 

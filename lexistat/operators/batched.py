@@ -7,6 +7,7 @@ models. Scaling, reduction and selection are linear maps of each model and never
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -119,7 +120,7 @@ def _map_of(sums: TrainSums, prep: Prep) -> tuple[np.ndarray, np.ndarray]:
 
 def train_models(
     data: DataFrame, specs: list[ModelSpec], classes: int, d: int, n_folds: int, loss: str = "logistic",
-    max_iter: int = 100, tol: float = 1e-4,
+    max_iter: int = 1000, tol: float = 1e-4,
 ) -> list[Fitted]:
     """Fit all models. `data` has features, ys, folds and, for inner models, inners."""
     heads = 1 if classes == 2 else classes
@@ -234,9 +235,16 @@ def _newton(evaluate: Callable, w: np.ndarray, size: np.ndarray, max_iter: int,
             trial[took], new_value[good], new_grad[good], new_direction[good])
         step[took] = 1.0
         step[still[~good]] *= 0.5
+    _warn_open(grad, size, tol)
     return w
 
 
+def _warn_open(grad: np.ndarray, size: np.ndarray, tol: float) -> None:
+    left = int((np.abs(grad).max((1, 2)) > tol * size).sum())
+    if left:
+        warnings.warn(f"{left} of {len(grad)} models did not converge", RuntimeWarning, stacklevel=3)
+
+
 def _loss_job(
     specs: list[ModelSpec], raw: np.ndarray, loss: str, n_folds: int, curvature: bool
 ) -> Callable[[pd.DataFrame], np.ndarray]:
@@ -322,6 +330,7 @@ def _minimise(
             step[took] = 1.0
         if (step < 1e-12).all():
             break
+    _warn_open(grad, size, tol)
     return w
 
 

@@ -133,14 +133,16 @@ def _spanning_links(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def radius_ladder(cores: DataFrame, steps: int) -> list[float]:
-    """Falling radii, evenly spaced in the logarithm, from twice the largest core distance down."""
+    """Falling radii: one that links almost all rows, multiples of a high share of the core distances, then
+    shares of them from 95 to 5 percent. Shares follow the rows, so far points do not move the others' radii."""
+    shares = [float(x) for x in np.linspace(0.95, 0.05, max(2, steps - 4))]
     finite = cores.where(F.col("core") < float("inf"))
-    low, high = finite.agg(F.percentile_approx("core", 0.05), F.max("core")).first()
+    found, high = finite.agg(F.percentile_approx("core", shares, 10_000), F.max("core")).first()
     if high is None:
         return []
-    high = max(2.0 * float(high), 1e-12)
-    low = max(float(low), high * 1e-6)
-    return [float(r) for r in np.geomspace(high, low, steps)]
+    wide = [found[0] * k for k in (16.0, 4.0, 2.0)]
+    top = max(2.0 * float(high), 1e-12)
+    return sorted({top, *(min(max(float(r), 1e-12), top) for r in (*wide, *found))}, reverse=True)
 
 
 def density_levels(

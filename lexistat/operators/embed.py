@@ -97,18 +97,27 @@ def join_embeddings(texts: DataFrame, embeddings: DataFrame, key: str, vector: s
     return texts.join(stored, "index")
 
 
+def text_fingerprint(texts: DataFrame) -> list[str]:
+    """Rows, and two sums of row hashes, of (source_column, index, text): equal for equal texts in any order."""
+    row = F.xxhash64("source_column", "index", "text")
+    sums = [F.sum(F.pmod(h, F.lit(2 ** 31 - 1)).cast("decimal(38,0)")) for h in (row, F.xxhash64(row, F.lit(1)))]
+    return [str(v) for v in texts.agg(F.count(F.lit(1)), *sums).first()]
+
+
 def stored_embeddings(
-    spark: SparkSession, folder: str, options: Mapping[str, object], build: Callable[[], DataFrame]
+    spark: SparkSession, folder: str, options: Mapping[str, object], build: Callable[[], DataFrame],
+    texts: DataFrame | None = None,
 ) -> DataFrame:
-    """Read vectors made with equal options, or build and store them first."""
-    name = hashlib.md5(json.dumps(dict(options), sort_keys=True, default=str).encode()).hexdigest()
+    """Read vectors made with equal options from equal texts, or build and store them first.
+
+    A folder without the mark of a finished write is written anew.
+    """
+    named = {"options": dict(options), "texts": None if texts is None else text_fingerprint(texts)}
+    name = hashlib.md5(json.dumps(named, sort_keys=True, default=str).encode()).hexdigest()
     path = f"{folder.rstrip('/')}/embeddings-{name}"
-    try:
-        return spark.read.parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    build().write.parquet(path)
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

@@ -7,6 +7,7 @@ Spark job serves every permutation, every fold and every point of the grid.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -131,7 +132,8 @@ def lasso_path_point(
                 moved = max(moved, float(np.max(np.abs(step) * np.sqrt(curve[j]))))
                 w[j] = new
         if moved < tol * max(1.0, float(np.sqrt(np.max(np.abs(cross))))):
-            break
+            return w
+    warnings.warn(f"lasso did not converge in {max_iter} rounds", RuntimeWarning, stacklevel=2)
     return w
 
 

@@ -26,6 +26,7 @@ METHODS = {
 }
 OFF = {"none", "no", "off", "false", "0", "na", "n/a"}
 SCOPE_COLUMNS = {"all_tests": [], "within_target": ["target_name"], "within_feature_set": ["feature_set"]}
+EULER = 0.5772156649015329
 ALPHA = 0.05
 
 
@@ -96,6 +97,15 @@ def _ranked_levels(levels: DataFrame) -> DataFrame:
     )
 
 
+def _harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m; beyond 1,000 by its expansion, whose error is below 1e-20 there."""
+    short = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.least(m, F.lit(1000).cast("bigint"))),
+                        F.lit(0.0), lambda s, j: s + 1.0 / j)
+    square = m.cast("double") * m
+    long = F.log(m.cast("double")) + EULER + 0.5 / m - 1.0 / (12.0 * square) + 1.0 / (120.0 * square * square)
+    return F.when(m <= 1000, short).otherwise(long)
+
+
 def _adjust_levels(levels: DataFrame, method: str) -> DataFrame:
     if method == "hommel":
         return _hommel(levels)
@@ -122,8 +132,7 @@ def _adjust_levels(levels: DataFrame, method: str) -> DataFrame:
     elif method == "fdr_bh":
         value = step_up
     elif method == "fdr_by":
-        harmonic = F.aggregate(F.sequence(F.lit(1).cast("bigint"), m), F.lit(0.0), lambda s, j: s + 1.0 / j)
-        value = step_up * harmonic
+        value = step_up * _harmonic(m)
     elif method == "fdr_gbs":
         odds = F.when(p < 1, p / (1 - F.when(p < 1, p))).otherwise(F.lit(float("inf")))
         value = F.max(remaining / F.col("first") * odds).over(by_p)

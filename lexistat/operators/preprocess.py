@@ -87,7 +87,10 @@ def f_class_scores(long: DataFrame, y: str) -> DataFrame:
     within = F.col("sxx") - F.col("group_ss")
     return per.select(
         "fold", "pos",
-        F.try_divide(between / (F.col("classes") - 1), within / (F.col("n") - F.col("classes"))).alias("f"),
+        # Null where training rows hold one class, or as many classes as rows.
+        F.try_divide(
+            F.try_divide(between, F.col("classes") - 1), F.try_divide(within, F.col("n") - F.col("classes"))
+        ).alias("f"),
     )
 
 
@@ -103,9 +106,9 @@ def f_regression_scores(long: DataFrame, y: str) -> DataFrame:
         (F.sum(c).over(whole) - F.col(c)).alias(c) for c in ("n", "sx", "sxx", "sy", "syy", "sxy")
     ])
     n = F.col("n")
-    cxy = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    cxx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    cyy = F.col("syy") - F.col("sy") * F.col("sy") / n
+    cxy = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
+    cxx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
+    cyy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
     r2 = F.try_divide(cxy * cxy, cxx * cyy)
     return out.select("fold", "pos", F.try_divide(r2 * (n - 2), 1 - r2).alias("f"))
 

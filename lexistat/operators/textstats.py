@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexistat.functions.session import broadcast_if_small
 from lexistat.functions.text import (
     keep_words,
     ratio_or_zero,
@@ -49,13 +48,14 @@ def token_rows(df: DataFrame) -> DataFrame:
 def annotate_tokens(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     """Left join of token rows with a lexicon (token, lemma, pos, is_stop), by lower-cased token.
 
-    Tokens outside the lexicon keep their own lower-cased form as lemma and an empty tag.
+    Tokens outside the lexicon keep their own lower-cased form as lemma and an empty tag. Of several entries
+    for one lower-cased token the first counts, by lemma, then tag, then stop mark.
     """
-    entries = broadcast_if_small(
-        lexicon.select(
-            F.lower("token").alias("_entry"), F.col("lemma").alias("_lemma"),
-            F.col("pos").alias("_tag"), F.col("is_stop").alias("_stop"),
-        )
+    entries = lexicon.groupBy(F.lower("token").alias("_entry")).agg(
+        F.min(F.struct("lemma", "pos", "is_stop")).alias("_first")
+    ).select(
+        "_entry", F.col("_first.lemma").alias("_lemma"), F.col("_first.pos").alias("_tag"),
+        F.col("_first.is_stop").alias("_stop"),
     )
     joined = tokens.join(entries, F.lower(F.col("token")) == F.col("_entry"), "left")
     return joined.select(

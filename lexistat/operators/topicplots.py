@@ -72,20 +72,29 @@ def centroid_weights(centroids: DataFrame) -> DataFrame:
     return centroids.select("topic_id", F.posexplode("centroid").alias("feature", "weight"))
 
 
-def heatmap_data(weights: DataFrame) -> DataFrame:
-    """(topic_a, topic_b, similarity): cosine of every pair of the topics to show.
+def heatmap_data(weights: DataFrame, topics: DataFrame | None = None) -> DataFrame:
+    """(topic_a, topic_b, similarity): cosine of every pair of the topics to show (topic_id), or of all.
 
-    The result itself has one row per pair of topics; features are the join key.
+    A figure has one cell for each pair, so the result has one row for each; a pair without a common feature,
+    or with a topic whose vector is zero, has similarity 0. Sums are taken for one order of a pair.
     """
     norms = weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     unit = weights.join(norms, "topic_id").select(
-        "topic_id", "feature", (F.col("weight") / F.col("norm")).alias("w")
+        "topic_id", "feature", F.coalesce(F.try_divide("weight", "norm"), F.lit(0.0)).alias("w")
     )
     left = unit.select(F.col("topic_id").alias("topic_a"), "feature", F.col("w").alias("x"))
     right = unit.select(F.col("topic_id").alias("topic_b"), "feature", F.col("w").alias("y"))
-    return left.join(right, "feature").groupBy("topic_a", "topic_b").agg(
+    shared = left.join(right, "feature").where("topic_a <= topic_b").groupBy("topic_a", "topic_b").agg(
         F.sum(F.col("x") * F.col("y")).alias("similarity")
     )
+    shown = (weights if topics is None else topics).agg(F.sort_array(F.collect_set("topic_id")).alias("ids"))
+    cells = shown.select(F.explode("ids").alias("topic_a"), "ids").select(
+        "topic_a", F.explode("ids").alias("topic_b")
+    ).where("topic_a <= topic_b")
+    half = cells.join(shared, ["topic_a", "topic_b"], "left").select(
+        "topic_a", "topic_b", F.coalesce("similarity", F.lit(0.0)).alias("similarity")
+    )
+    return half.union(half.where("topic_a < topic_b").select("topic_b", "topic_a", "similarity"))
 
 
 def hierarchy_data(similarities: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
@@ -102,7 +111,10 @@ def hierarchy_data(similarities: DataFrame, sizes: DataFrame | None = None) -> D
             F.lit(1).cast("bigint").alias("na"), F.lit(1).cast("bigint").alias("nb"),
         )
     )
-    merges = []
+    topics, given = similarities.select("topic_a").union(similarities.select("topic_b")).distinct().count(), pairs.count()
+    if given < topics * (topics - 1):
+        raise ValueError(f"similarities are missing: {given} pairs for {topics} topics")
+    merges: list[tuple[int, int, int, float, int]] = []
     step = 0
     while True:
         nearest = pairs.where("a < b").orderBy("d2", "a", "b").limit(1).collect()

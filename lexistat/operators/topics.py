@@ -241,7 +241,10 @@ def representative_docs(
         ranked = first_rows_of(docs, ["topic_id"], [F.col("index"), F.col("source_column")], n)
     else:
         near = docs.join(centroids, "topic_id", "left")
-        cosine = dot(F.col(vector), F.col("centroid")) / (l2_norm(F.col(vector)) * l2_norm(F.col("centroid")))
+        # A zero vector has no direction: its closeness is null and comes last.
+        cosine = F.try_divide(
+            dot(F.col(vector), F.col("centroid")), l2_norm(F.col(vector)) * l2_norm(F.col("centroid"))
+        )
         ranked = first_rows_of(
             near.select("topic_id", "index", "source_column", "text", cosine.alias("closeness")),
             ["topic_id"], [F.desc_nulls_last("closeness"), F.col("index"), F.col("source_column")], n,

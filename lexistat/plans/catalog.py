@@ -82,7 +82,7 @@ def candidate_text_columns(spark, sf):
 
 @query
 def embeddings_wide(spark, sf):
-    wide = tables.embeddings_wide(table(spark, sf, "embeddings"), ["vec_id", "label"], "embedding", 64)
+    wide = tables.embeddings_wide(table(spark, sf, "embeddings"), ["vec_id", "label"], "embedding")
     return rounded_doubles(wide)
 
 

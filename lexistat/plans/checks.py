@@ -411,8 +411,11 @@ def cosine_pairs(weights: str) -> str:
     return f""",
 w AS ({weights}),
 u AS (SELECT topic_id, feature, weight / sqrt(sum(weight * weight) OVER (PARTITION BY topic_id)) AS weight FROM w)
-SELECT a.topic_id AS topic_a, b.topic_id AS topic_b, round(sum(a.weight * b.weight), 6) AS similarity
-FROM u a JOIN u b USING (feature) GROUP BY ALL"""
+ids AS (SELECT DISTINCT topic_id FROM w),
+sums AS (SELECT a.topic_id AS topic_a, b.topic_id AS topic_b, sum(a.weight * b.weight) AS s
+  FROM u a JOIN u b USING (feature) GROUP BY ALL)
+SELECT a.topic_id AS topic_a, b.topic_id AS topic_b, round(coalesce(s, 0.0), 6) AS similarity
+FROM ids a CROSS JOIN ids b LEFT JOIN sums ON topic_a = a.topic_id AND topic_b = b.topic_id"""
 
 
 CHECKS["heatmap_terms"] = with_ctes(scores()) + cosine_pairs(

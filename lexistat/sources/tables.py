@@ -14,17 +14,18 @@ TARGET_PREFIX = "target"
 
 
 def load_table(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = True
 ) -> DataFrame:
     """Parquet by suffix, tab-separated for .tsv, otherwise comma-separated with a header.
 
-    Pass a schema for large text files: inferring one reads the whole file an extra time.
+    Pass a schema for large text files: inferring one reads the whole file an extra time. A file whose quoted
+    fields may hold line ends is read by one task; set multi_line to False to split files that have none.
     """
     lowered = path.lower().rstrip("/")
     if lowered.endswith(".parquet"):
         reader = spark.read if schema is None else spark.read.schema(schema)
         return reader.parquet(path)
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     reader = reader.option("sep", "\t" if lowered.endswith(".tsv") else ",")
     reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
     return reader.csv(path)
@@ -67,7 +68,13 @@ def dataset_overview(df: DataFrame, text_cols: Sequence[str]) -> DataFrame:
     return counted.unpivot(["total_rows"], list(text_cols), "text_column", "usable_rows")
 
 
-def embeddings_wide(df: DataFrame, meta: Sequence[str], vector: str, dim: int) -> DataFrame:
+def embeddings_wide(df: DataFrame, meta: Sequence[str], vector: str, dim: int | None = None) -> DataFrame:
+    """One column for each number of a vector; the dimension is read from the data if it isn't given."""
+    if dim is None:
+        low, high = df.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+        if low != high:
+            raise ValueError(f"vectors have {low} to {high} numbers")
+        dim = high or 0
     return df.select(*meta, *[F.col(vector)[i].alias(f"e{i + 1}") for i in range(dim)])
 
 
