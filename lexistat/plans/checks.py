@@ -410,7 +410,7 @@ SELECT topic_id, place::INT AS rank, term, round(log10(score), 6) AS score FROM
 def cosine_pairs(weights: str) -> str:
     return f""",
 w AS ({weights}),
-u AS (SELECT topic_id, feature, weight / sqrt(sum(weight * weight) OVER (PARTITION BY topic_id)) AS weight FROM w)
+u AS (SELECT topic_id, feature, weight / sqrt(sum(weight * weight) OVER (PARTITION BY topic_id)) AS weight FROM w),
 ids AS (SELECT DISTINCT topic_id FROM w),
 sums AS (SELECT a.topic_id AS topic_a, b.topic_id AS topic_b, sum(a.weight * b.weight) AS s
   FROM u a JOIN u b USING (feature) GROUP BY ALL)
