@@ -34,9 +34,9 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
-def pick_pivots(points: DataFrame, n: int, seed: int = 42) -> np.ndarray:
-    """About the square root of n vectors, at most MAX_PIVOTS, in hash order of their ids."""
-    m = max(1, min(MAX_PIVOTS, math.isqrt(n)))
+def pick_pivots(points: DataFrame, n: int, seed: int = 42, most: int = MAX_PIVOTS) -> np.ndarray:
+    """About the square root of n vectors, at most `most`, in hash order of their ids."""
+    m = max(1, min(most, math.isqrt(n)))
     rows = points.orderBy(hash_order(seed, F.col("id"))).limit(m).select("vector").collect()
     return np.array([r["vector"] for r in rows], dtype=np.float64)
 
@@ -74,6 +74,20 @@ def reachable_cells(
     return ordered.mapInPandas(emit, f"{schema}, cell int").select(*names, "cell")
 
 
+def nearest_cells(points: DataFrame, pivots: np.ndarray, probes: int, metric: str, columns: list[str]) -> DataFrame:
+    """One row per vector and each of its `probes` nearest pivots."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                gap = distances(matrix(batch["vector"]), pivots, metric)
+                near = np.argpartition(gap, min(probes, gap.shape[1]) - 1, axis=1)[:, :probes]
+                yield batch.iloc[np.repeat(np.arange(len(batch)), near.shape[1])][columns].assign(cell=near.ravel())
+
+    schema = ", ".join(f"{c} {points.schema[c].dataType.simpleString()}" for c in columns)
+    return points.select(*columns).mapInPandas(emit, f"{schema}, cell int")
+
+
 def block_pairs(
     left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str, block_rows: int = BLOCK_ROWS,

@@ -1,4 +1,4 @@
-"""Exact nearest neighbours of every vector."""
+"""Nearest neighbours of every vector, exact or among the cells around the nearest pivots."""
 
 from __future__ import annotations
 
@@ -13,12 +13,16 @@ from lexistat.operators.cells import (
     assign_cells,
     block_pairs,
     distances,
+    nearest_cells,
     pick_pivots,
     reachable_cells,
 )
 from lexistat.operators.stack import first_rows_of
 
 METRICS = ("cosine", "euclidean", "manhattan")
+METHODS = ("exact", "approximate")
+CELL_PIVOTS = 8192  # pivots of the approximate search at most
+OWN_CELLS = 3  # cells in which the approximate search looks for the neighbours of a vector
 
 
 def distinct_vectors(df: DataFrame, key: str, vector: str, metric: str) -> tuple[DataFrame, DataFrame]:
@@ -34,9 +38,17 @@ def distinct_vectors(df: DataFrame, key: str, vector: str, metric: str) -> tuple
 
 def knn_graph(
     df: DataFrame, k: int, key: str, vector: str = "embedding", metric: str = "cosine",
-    seed: int = 42, block_rows: int = 4096,
+    seed: int = 42, block_rows: int = 4096, method: str = "exact", probes: int = 16,
 ) -> DataFrame:
-    """(key, neighbour, place, distance): the k nearest other rows, ties by key."""
+    """(key, neighbour, place, distance): the k nearest other rows, ties by key.
+
+    The exact search compares a vector with all that the triangle inequality does not rule out, which in many
+    dimensions is nearly all: it is meant for small tables. The approximate one looks only at vectors that have
+    one of the vector's three nearest pivots among their `probes` nearest ones, so its work is 3 * n * probes * n
+    / pivots; a vector may get fewer than k neighbours, and more probes find more of the exact ones.
+    """
+    if method not in METHODS:
+        raise ValueError(f"method must be one of: {', '.join(METHODS)}")
     if metric not in METRICS:
         raise ValueError(f"metric must be one of: {', '.join(METRICS)}")
     if k < 1:
@@ -48,7 +60,7 @@ def knn_graph(
             [], f"key {df.schema[key].dataType.simpleString()}, "
             f"neighbour {df.schema[key].dataType.simpleString()}, place int, distance double"
         )
-    near = _point_neighbours(points, n, k, metric, seed, block_rows)
+    near = _point_neighbours(points, n, k, metric, seed, block_rows, probes if method == "approximate" else None)
     # Candidates of a point: its own first copies, and the first copies of its neighbours.
     firsts = first_rows_of(members, ["id"], [F.col("member")], k + 1).select(
         F.col("id").alias("other"), F.col("member").alias("neighbour")
@@ -72,11 +84,24 @@ def knn_graph(
 
 
 def _point_neighbours(
-    points: DataFrame, n: int, k: int, metric: str, seed: int, block_rows: int
+    points: DataFrame, n: int, k: int, metric: str, seed: int, block_rows: int, probes: int | None
 ) -> DataFrame:
-    """(id, other, distance): at least the k nearest other points of each point."""
-    pivots = pick_pivots(points, n, seed)
-    placed = assign_cells(points, pivots, metric).persist()
+    """(id, other, distance): at least the k nearest other points of each point, of those in its cell or of all."""
+    if probes is None:
+        pivots = pick_pivots(points, n, seed)
+        placed = assign_cells(points, pivots, metric).persist()
+        partners = _possible_partners(points, placed, pivots, k, metric)
+    else:
+        pivots = pick_pivots(points, n, seed, CELL_PIVOTS)
+        placed = nearest_cells(points, pivots, OWN_CELLS, metric, ["id", "vector"])
+        partners = nearest_cells(points, pivots, probes, metric, ["id", "vector"])
+    return _nearest_in_cells(points, placed, partners, k, metric, block_rows)
+
+
+def _possible_partners(
+    points: DataFrame, placed: DataFrame, pivots: np.ndarray, k: int, metric: str
+) -> DataFrame:
+    """Each point in every cell where it may be among the k nearest of some point."""
     radius = np.zeros(len(pivots))
     counted = placed.groupBy("cell").agg(F.max("gap").alias("far")).collect()
     for row in counted:
@@ -92,8 +117,12 @@ def _point_neighbours(
     for i in range(len(pivots)):
         upper = np.sort(radius[i] + between[i, cell] + gap)
         bound[i] = upper[k] if len(upper) > k else np.inf
-    partners = reachable_cells(points, pivots, radius + bound, metric, ["id", "vector"])
+    return reachable_cells(points, pivots, radius + bound, metric, ["id", "vector"])
+
 
+def _nearest_in_cells(
+    points: DataFrame, placed: DataFrame, partners: DataFrame, k: int, metric: str, block_rows: int
+) -> DataFrame:
     def nearest(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         gaps = distances(matrix(one["vector"]), matrix(two["vector"]), metric)
         left, right = one["id"].to_numpy(), two["id"].to_numpy()
@@ -111,6 +140,6 @@ def _point_neighbours(
     )
     window = Window.partitionBy("id").orderBy("distance", "other")
     return (
-        found.withColumn("r", F.row_number().over(window)).where(F.col("r") <= k)
+        found.groupBy("id", "other").agg(F.min("distance").alias("distance")).withColumn("r", F.row_number().over(window)).where(F.col("r") <= k)
         .select("id", "other", "distance")
     )

@@ -391,6 +391,13 @@ for _metric in neighbours.METRICS:
     query(_knn(_metric))
 
 
+@query
+def knn_cosine_approximate(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    return rounded_doubles(neighbours.knn_graph(vectors, 5, "vec_id", "embedding", "cosine", method="approximate"))
+
+
+
 # ---- topics ----------------------------------------------------------------------------------
 
 TERMS = topics.TermOptions(stop_words=STOP_WORDS)
@@ -758,7 +765,7 @@ def _modelled(options, target="labels"):
 
 RIDGE = modeling.ModelOptions(n_permutations=200, report_metrics=("mae", "rmse"))
 LASSO_TUNED = modeling.ModelOptions(
-    regressor="lasso", n_permutations=20, tune=True, regressor_grid={"alpha": [0.1, 1.0, 10.0]},
+    regressor="lasso", n_permutations=200, tune=True, regressor_grid={"alpha": [0.1, 1.0, 10.0]},
     reduce_method="pca", reduce_n_components=20, reduce_components_grid=(5, 10, 20))
 LOGISTIC = modeling.ModelOptions(n_permutations=20, report_metrics=("balanced_accuracy", "f1"))
 SVM = modeling.ModelOptions(classifier="linear_svm", n_permutations=5, feature_selection="kbest", k_best=16)
@@ -807,16 +814,16 @@ def _role_vectors(spark, sf):
 @query
 def separate_feature_sets(spark, sf):
     vectors, y = _role_vectors(spark, sf)
-    options = modeling.ModelOptions(n_permutations=50, correction_method="holm")
+    options = modeling.ModelOptions(n_permutations=200, correction_method="holm")
     found = modeling.run_feature_sets(
-        vectors, y, "conv_id", ["user_length"], "separate", options, "within_target", ["user", "assistant"])
+        vectors, y, "conv_id", ["user_length"], "separate", options, "within_target", ["user", "assistant", "system"])
     return _results(found)
 
 
 @query
 def averaged_feature_set(spark, sf):
     vectors, y = _role_vectors(spark, sf)
-    options = modeling.ModelOptions(n_permutations=50)
+    options = modeling.ModelOptions(n_permutations=200)
     return _results(modeling.run_feature_sets(vectors, y, "conv_id", ["user_length"], "average", options))
 
 
@@ -895,7 +902,7 @@ def report_lines(spark, sf):
     stats, overall = _document_overall(spark, sf)
     results = modeling.cross_validate(
         vector_features(spark, sf), table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id",
-        ["n_chars"], modeling.ModelOptions(n_permutations=50))[0]
+        ["n_chars"], modeling.ModelOptions(n_permutations=200))[0]
     projected = project.projection_table(project.pca_project(embedded_texts(spark, sf), 2), 2)
     return report.report_lines(
         spark, ["text"], "2024-01-01 00:00", summary.descriptive_summary_table(stats, overall), overall,

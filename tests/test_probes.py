@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
-from lexistat.operators import density, embed, inference, preprocess, topicplots, topics
+from lexistat.operators import density, embed, inference, neighbours, preprocess, topicplots, topics
 from lexistat.operators.textstats import text_row_stats
 from lexistat.sources import tables
 from pyspark.sql import functions as F
@@ -94,3 +94,12 @@ def test_mixed_vectors_are_not_spread(spark):
     with pytest.raises(ValueError):
         tables.embeddings_wide(rows, ["id"], "v")
     assert tables.embeddings_wide(rows.where("id = 2"), ["id"], "v").columns == ["id", "e1", "e2"]
+
+
+def test_approximate_neighbours_find_nine_in_ten(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    pairs = [{(r["key"], r["neighbour"]) for r in neighbours.knn_graph(rows, 5, "vec_id", method=m).collect()}
+             for m in ("exact", "approximate")]
+    assert len(pairs[0] & pairs[1]) >= 0.9 * len(pairs[0])
+    with pytest.raises(ValueError):
+        neighbours.knn_graph(rows, 5, "vec_id", method="guess")
