@@ -87,3 +87,95 @@ SELECT d.doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, a.shard,
 FROM crc d JOIN placed a ON a.doc_id = d.doc_id AND a.shards = 8
 JOIN placed g ON g.doc_id = d.doc_id AND g.shards = 9
 """
+
+WORDS = r"""d AS (
+    SELECT doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') AS w FROM documents
+)"""
+
+CHECKS["op1_substring_dedup"] = "WITH " + WORDS.format(text="coalesce(text, '')") + """,
+win AS (
+    SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+), held AS (SELECT g, min(doc_id) AS first_doc FROM win GROUP BY g),
+gone AS (
+    SELECT DISTINCT win.doc_id, i + k AS p FROM win JOIN held USING (g), range(13) r(k) WHERE first_doc < win.doc_id
+), word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (
+    SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>"]
+
+
+def escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for c in CONTROLS:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+CHECKS["op2_chat_formatting"] = f"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), said AS (
+    SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(9 + length({escaped("role")}) + length(role) - length(replace(role, chr(10), '')) + length({escaped("text")}))
+            AS formatted_chars
+    FROM rows GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+    formatted_chars::BIGINT AS formatted_chars
+FROM said
+"""
+
+CHECKS["op7_lm_scoring"] = "WITH " + WORDS.format(text="coalesce(text, '')") + """,
+spot AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+gram AS (
+    SELECT doc_id, p, w[p] AS g1, CASE WHEN p > 1 THEN w[p - 1] || ' ' || w[p] END AS g2,
+        CASE WHEN p > 1 THEN w[p - 1] END AS h1, CASE WHEN p > 2 THEN w[p - 2] || ' ' || w[p - 1] || ' ' || w[p] END AS g3,
+        CASE WHEN p > 2 THEN w[p - 2] || ' ' || w[p - 1] END AS h2
+    FROM spot
+), c1 AS (SELECT g1 AS g, count(*) AS n FROM gram GROUP BY 1), c2 AS (SELECT g2 AS g, count(*) AS n FROM gram GROUP BY 1),
+c3 AS (SELECT g3 AS g, count(*) AS n FROM gram GROUP BY 1),
+counted AS (
+    SELECT doc_id, g2, g3, a.n AS n1, b.n AS n2, c.n AS n3, x.n AS m1, y.n AS m2
+    FROM gram JOIN c1 a ON a.g = g1 LEFT JOIN c2 b ON b.g = g2 LEFT JOIN c3 c ON c.g = g3
+    LEFT JOIN c1 x ON x.g = h1 LEFT JOIN c2 y ON y.g = h2
+), scored AS (
+    SELECT doc_id, CASE WHEN g3 IS NOT NULL AND n3 >= 2 THEN ln(n3 / m2)
+        WHEN g2 IS NOT NULL AND n2 >= 2 THEN ln(n2 / m1) + CASE WHEN g3 IS NOT NULL THEN ln(0.4) ELSE 0 END
+        ELSE ln(n1 / (SELECT count(*) FROM gram))
+            + (CASE WHEN g2 IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN g3 IS NOT NULL THEN 1 ELSE 0 END) * ln(0.4) END AS s,
+        (g3 IS NOT NULL AND n3 < 2) OR (g3 IS NULL AND g2 IS NOT NULL AND n2 < 2) AS off
+    FROM counted
+), summed AS (SELECT doc_id, sum(s) AS s, count(*) FILTER (off) AS off FROM scored GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, round(coalesce(s, 0), 4) AS log_score, coalesce(off, 0) AS n_backed_off
+FROM d LEFT JOIN summed USING (doc_id)
+"""
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+CHECKS["op9_ngram_jaccard"] = "WITH RECURSIVE " + WORDS.format(
+    text=f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')") + """,
+shingles AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id
+    GROUP BY ALL
+), links AS (
+    SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), reach(a, b) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT reach.a, l.b FROM reach JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = reach.b
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(reach.b) AS component_id
+FROM d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY ALL
+"""

@@ -51,7 +51,8 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    return lmscore.score_documents(table(spark, folder, "documents"))
+    scored = lmscore.score_documents(table(spark, folder, "documents"))
+    return scored.withColumn("log_score", F.round("log_score", 4))
 
 
 def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
