@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexistat.functions.session import checkpoint_folder
 from lexistat.functions.text import (
     keep_words,
     ratio_or_zero,
@@ -86,6 +88,22 @@ def embeddings_wide(spark, sf):
     return rounded_doubles(wide)
 
 
+@query
+def table_round_trip(spark, sf):
+    """All turns written as comma-separated text, with quotes and line ends inside, and loaded again."""
+    path = f"{checkpoint_folder(spark).rstrip('/')}/turns-{uuid.uuid4().hex}.csv"
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    tables.write_table(turns, path, "csv")
+    return tables.load_table(spark, path, turns.schema)
+
+
+@query
+def shown_columns(spark, sf):
+    """Adjusted p-values are left out of the display where no test has one."""
+    tests = event_tests(spark, sf).withColumn("p_fdr", F.lit(None).cast("double"))
+    return rounded_doubles(stack.drop_all_null_columns(tests, ["p_fdr", "p_value"]))
+
+
 # ---- stacking and joining --------------------------------------------------------------------
 
 

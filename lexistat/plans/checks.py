@@ -703,3 +703,7 @@ SELECT target, task, metric_name, round_even(observed, 3) AS observed, round_eve
   'all_tests' AS p_adjust_scope, cv_folds_used FROM reported"""
 CHECKS["fold_reduction_report"] = with_ctes(TESTS) + """
 SELECT target, 4 AS requested, cv_folds_used FROM tests WHERE cv_folds_used < 4"""
+CHECKS["table_round_trip"] = "SELECT conv_id, turn, role, text FROM conversations"
+CHECKS["shown_columns"] = with_ctes(TESTS) + """
+SELECT target, target_name, feature_set, task, metric_name, round(observed, 6) AS observed, round(p_value, 6) AS p_value,
+  cv_folds_used FROM tests"""
