@@ -39,7 +39,7 @@ HASHES = 4
 FREQUENT_BITS = 1 << 25
 REPEAT_BITS = 1 << 27
 WANTED_BITS = 1 << 25
-BLOCK = 256
+BLOCK = 1024
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:
@@ -208,10 +208,10 @@ def id_filter(wanted: DataFrame) -> tuple[np.ndarray, Filter]:
 
 
 def whole_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
-    """(doc, shingles) of the documents in `wanted` (doc), from their whole texts.
+    """(doc, shingles) of the documents in `wanted` (doc) and a few others, from their whole texts.
 
     A filter of fixed size picks the documents while they are read, so texts are never shuffled; what it lets
-    through besides is dropped by the join of the sets.
+    through besides has to be dropped by a join.
     """
     bits, known = id_filter(wanted)
     sent = docs.sparkSession.sparkContext.broadcast(bits)  # of fixed size
@@ -228,7 +228,7 @@ def whole_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> Da
                 ], ["doc", "shingles"])
 
     rows = docs.select(col(doc_id).cast("bigint").alias("doc"), col(text).alias("text")).where("doc is not null")
-    return rows.mapInArrow(sets, "doc bigint, shingles binary").join(wanted, "doc", "left_semi")
+    return rows.mapInArrow(sets, "doc bigint, shingles binary")
 
 
 def linked(overlap: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
@@ -248,11 +248,10 @@ def compare(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFr
     """The pairs (a, b) whose whole sets are similar enough. Each b meets its partners in slices of 64."""
     pairs = settle(pairs.withColumn("part", F.pmod(F.hash("a"), F.lit(64))))
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = settle(whole_sets(docs, doc_id, text, wanted))
-    left = pairs.join(sets.withColumnRenamed("doc", "a"), "a").select("b", "part", F.col("a").alias("a"), "shingles")
-    hubs = pairs.select("b", "part").distinct().join(sets.withColumnRenamed("doc", "b"), "b").select(
-        "b", "part", F.lit(None).cast("bigint").alias("a"), "shingles"
-    )
+    asked = pairs.select(F.col("a").alias("doc"), "b", "part", "a").union(pairs.select(
+        F.col("b").alias("doc"), "b", "part", F.lit(None).cast("bigint").alias("a")).distinct())
+    # Pairs grow with the documents: they are merged with the sets, which are shuffled once, and never broadcast.
+    rows = whole_sets(docs, doc_id, text, wanted).join(asked.hint("merge"), "doc").select("b", "part", "a", "shingles")
 
     def check(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub = None, np.zeros(0, U64)
@@ -268,7 +267,7 @@ def compare(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFr
                 pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())
             ], ["a", "b"])
 
-    rows = hubs.union(left).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    rows = rows.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
     return rows.mapInArrow(check, "a bigint, b bigint")
 
 
@@ -381,8 +380,8 @@ def family_links(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> D
     queries = placed.where("label <> main").select("root", "doc", "label", F.explode(
         F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
         F.pmod("spot", "slices").cast("int").alias("slice"), F.lit(1).alias("side"))
-    sets = settle(whole_sets(docs, doc_id, text, members.select("doc")))
-    tasks = index.unionByName(queries).join(sets, "doc")
+    sets = whole_sets(docs, doc_id, text, members.select("doc"))
+    tasks = sets.join(index.unionByName(queries).hint("merge"), "doc")
 
     def search(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
