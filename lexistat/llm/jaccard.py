@@ -415,7 +415,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ).select("mark", F.col("x.doc_id").alias("doc"), "x.n", "x.hashes", "x.frequent", "x.prefix")
     nodes = settle(nodes)
     near = components(settle(compare(star_pairs(nodes), docs, doc_id, text)))
-    labelled = settle(nodes.join(near.withColumnRenamed("node", "doc"), "doc", "left").select(
+    # Labels grow with the documents: they are merged at every size, never broadcast.
+    labelled = settle(nodes.join(near.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").select(
         "mark", "doc", "n", "frequent", "prefix", F.coalesce("root", "doc").alias("label")
     ))
     links = compare(short_list_pairs(labelled, bits), docs, doc_id, text).union(
@@ -428,7 +429,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
     roots = components(between).withColumnRenamed("node", "label")
     known = labelled.join(roots, "label", "left").select("mark", F.coalesce("root", "label").alias("component"))
-    return rows.join(known, "mark", "left").select(
+    return rows.join(known.hint("merge"), "mark", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component")), F.col("doc_id")))
         .alias("component_id"),
