@@ -1,9 +1,9 @@
 """Quality rules from the lines that documents of one host share (DataFrame functions only).
 
 Lines are normalised (lower case, runs of white space as one space, trimmed) and hashed. For each host and
-line, the documents that hold it are counted; a document counts once together with its copies and near
-copies, which are recognised by their smallest other line hash. Lines above the limit are removed, and a
-document that has lost most of its words by that is rejected.
+line, the distinct documents that hold it are counted; documents with the same normalised lines in the same
+order are copies and count once. Lines above the limit are removed, and a document that has lost most of its
+words by that is rejected.
 """
 
 from __future__ import annotations
@@ -85,8 +85,9 @@ def shared_lines(
     """(lines, frequent): every line of every document, and the lines above the limit of their host.
 
     lines: doc, mark (md5 of the text), host, place, line (md5), words. frequent: host, line, holders, where
-    holders > min_holders and 100 * holders > max_share_percent * documents of the host. A null host is a
-    host of its own; a null text has no lines.
+    holders > min_holders and 100 * holders > max_share_percent * documents of the host. Both count documents
+    without copies: those with the same lines in the same order are one. A null host is a host of its own; a
+    null text has no lines.
     """
     t = F.coalesce(col(text), F.lit(""))
     rows = docs.select(
@@ -94,19 +95,18 @@ def shared_lines(
         F.filter(F.transform(F.split(t, "\n", -1), lambda x: F.trim(F.regexp_replace(
             F.lower(x), r"[\x20\x09-\x0D]+", " "))), lambda x: x != "").alias("texts"),
     ).withColumn("hashes", F.transform("texts", lambda x: F.md5(x.cast("binary"))))
-    rows = rows.withColumn("least", F.slice(F.sort_array(F.array_distinct("hashes")), 1, 2))
+    rows = rows.withColumn("copy", F.md5(F.array_join("hashes", "").cast("binary")))
     lines = rows.select(
-        "doc", "mark", "host", "least",
+        "doc", "mark", "host", "copy",
         F.posexplode(F.arrays_zip(F.col("hashes").alias("line"), F.col("texts").alias("text"))).alias("place", "at"),
     ).select(
-        "doc", "mark", "host", "place", F.col("at.line").alias("line"), line_words(F.col("at.text")).alias("words"),
-        F.coalesce(F.when(F.get("least", F.lit(0)) == F.col("at.line"), F.get("least", F.lit(1)))
-                   .otherwise(F.get("least", F.lit(0))), F.lit("")).alias("family"),
+        "doc", "mark", "host", "place", F.col("at.line").alias("line"), line_words(F.col("at.text")).alias("words"), "copy",
     )
-    holders = lines.select("host", "line", "family").distinct().groupBy("host", "line").agg(
+    holders = lines.select("host", "line", "copy").distinct().groupBy("host", "line").agg(
         F.count(F.lit(1)).alias("holders")
     ).where(F.col("holders") > min_holders)
-    sizes = docs.groupBy(col(host).alias("its_host")).agg(F.count(F.lit(1)).alias("documents"))
+    sizes = rows.select(F.col("host").alias("its_host"), "copy").distinct().groupBy("its_host").agg(
+        F.count(F.lit(1)).alias("documents"))
     frequent = holders.join(sizes, F.col("host").eqNullSafe(F.col("its_host"))).where(
         F.col("holders") * 100 > F.col("documents") * max_share_percent
     ).select("host", "line", "holders")

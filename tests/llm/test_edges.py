@@ -161,6 +161,27 @@ def test_a_line_of_many_documents_goes_and_its_documents_with_it(spark):
     assert all(r[name].kept for r in judged.collect())  # near copies count once
 
 
+def test_pages_of_stock_lines_count_as_distinct_documents(spark):
+    """Pages that share several stock lines, or one footer and one own line, are counted one by one."""
+    pool = [f"stock line number {k} of this host" for k in range(8)]
+    rng = np.random.default_rng(7)
+    text = {i: "\n".join(pool[k] for k in rng.permutation(8)[: 3 + i % 3]) for i in range(60)}
+    text |= {100 + i: f"footer of the whole site {i % 2}\nown {i}" for i in range(60)}
+    text |= {200 + i: "\n".join(f"own words {i} {k} a b c d" for k in range(4)) for i in range(60)}
+    text |= {300 + i: "a page held forty times by one host\nwith this second line" for i in range(40)}
+    rows = spark.createDataFrame([(i, t, "h") for i, t in text.items()], "doc_id bigint, text string, source string")
+    pages, holders = set(text.values()), Counter()
+    for t in pages:
+        holders.update(set(t.split("\n")))
+    frequent = {x for x, n in holders.items() if n > 20 and 100 * n > 2 * len(pages)}
+    assert set(pool) < frequent and len(frequent) == 10
+    judged, name = quality.quality_rules(rows, min_words=1, max_repeat_percent=100)
+    for r in judged.collect():
+        lost = sum(len(x.split()) for x in text[r.doc_id].split("\n") if x in frequent)
+        assert r[name].n_shared_words == lost and r[name].kept == (100 * lost <= 70 * r[name].n_words), r.doc_id
+    assert {r.doc_id for r in judged.where(f"{name}.kept").select("doc_id").collect()} == {i for i in text if i >= 200}
+
+
 def test_shards(docs, none):
     def jump(key, n):
         key, b, j = key % 2**64, -1, 0
