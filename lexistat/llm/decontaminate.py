@@ -4,8 +4,9 @@ The CGK embedding (Chakraborty, Goldenberg and Koucky, 2016) walks through a seq
 the word it stands on and moves on or stays by a random bit of word and step. Sequences at a small edit distance
 meet again after an edit and agree in most places, so their Hamming distance is small; bit sampling then finds
 them: tables of hashes of a few sampled places, over several walks. Windows have the length of an item. By the
-q-gram lemma a passage within the allowed edits keeps some three-word groups of its item, so windows are laid at
-the ends of runs of such groups. Candidates are verified by the exact edit distance over the surrounding words.
+q-gram lemma a passage within the allowed edits keeps some three-word groups of its item (shorter groups for the
+shortest items), so from each such group a window is laid where the item would begin, whatever other items hold
+around it. Candidates are verified by the exact edit distance over the surrounding words.
 
 Words are compared with A-Z in lower case. Documents are only read: no shuffle, no join.
 """
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexistat.llm.frames import col, free_name
-from lexistat.llm.words import U64, Words, mix, text_bytes, window_hashes
+from lexistat.llm.words import U64, Words, mix, ranges, text_bytes, window_hashes
 
 EDIT_PERCENT = 20
 MIN_WORDS = 5  # shorter items occur by chance; they are left out
@@ -31,6 +32,7 @@ TABLES = 10  # for each walk
 SAMPLED = 3
 BLOCK_BYTES = 8_000_000
 BATCH_BYTES = 4_000_000
+SEEDS = 2_000_000
 HIT = "array<struct<item_id bigint, distance int, first_word int, n_words int>>"
 HIT_TYPE = pa.list_(pa.struct([
     ("item_id", pa.int64()), ("distance", pa.int32()), ("first_word", pa.int32()), ("n_words", pa.int32())
@@ -41,6 +43,67 @@ def allowed(length: int, percent: int) -> int:
     return length * percent // 100
 
 
+def group_size(length: int, percent: int) -> int:
+    """The words of a group: the most, up to GRAM, of which one is sure to stay whole in a passage."""
+    for size in range(GRAM, 1, -1):
+        if length - size + 1 > size * allowed(length, percent):
+            return size
+    return 1
+
+
+class Groups:
+    """The word groups of one size of some items: for each group the (length, place) at which items hold it.
+
+    An item lists its rarest groups only: as many as the allowed edits can destroy, and one more."""
+
+    def __init__(self, size: int, items: list[np.ndarray], percent: int):
+        self.size = size
+        lengths = np.array([len(w) for w in items])
+        number = lengths - size + 1
+        grams = np.concatenate([window_hashes(w, size) for w in items])
+        self.all, held, times = np.unique(grams, return_inverse=True, return_counts=True)
+        item = np.repeat(np.arange(len(items)), number)
+        place = ranges(np.zeros(len(items), np.int64), number)
+        order = np.lexsort((place, times[held], item))  # of each item, the rarest first
+        rank = np.empty(len(order), np.int64)
+        rank[order] = place  # lexsort keeps items together, so places count up there too
+        sure = rank <= size * (lengths * percent // 100)[item]
+        rows = np.stack([held, lengths[item], place], 1)[sure]
+        rows = rows[np.lexsort(rows.T[::-1])]
+        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(1))]
+        self.first = np.searchsorted(rows[:, 0], np.arange(len(self.all) + 1))
+        self.length, self.place = rows[:, 1], rows[:, 2]
+        self.quick = np.zeros(1 << 20, bool)
+        self.quick[(self.all & U64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def find(self, hashed: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of `hashed` where a text holds a group, numbers of these groups)."""
+        grams = window_hashes(hashed, self.size)
+        at = np.flatnonzero(self.quick[(grams & U64((1 << 20) - 1)).astype(np.int64)]
+                            & (np.arange(len(grams)) + self.size <= end[: len(grams)]))
+        near = np.minimum(np.searchsorted(self.all, grams[at]), len(self.all) - 1)
+        same = self.all[near] == grams[at]
+        return at[same], near[same]
+
+    def starts(self, hits: np.ndarray, groups: np.ndarray, begin: np.ndarray, end: np.ndarray,
+               percent: int) -> dict[int, np.ndarray]:
+        """For each length of items, where windows begin: a hit less the place of its group in an item. They lie
+        in the text of the hit but for the edits allowed."""
+        number = self.first[groups + 1] - self.first[groups]
+        ends, keys, a = np.cumsum(number), [], 0
+        while a < len(hits):  # bounded parts: a common group stands at many places of items
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - number[a] + SEEDS, "right")))
+            row, at = ranges(self.first[groups[a:b]], self.first[groups[a:b] + 1]), np.repeat(hits[a:b], number[a:b])
+            length, start = self.length[row], at - self.place[row]
+            most = length * percent // 100
+            inside = (start >= begin[at] - most) & (start + length <= end[at] + most)
+            keys.append(np.unique((length << 40 | np.maximum(start, begin[at]))[inside]))
+            a = b
+        whole = np.unique(np.concatenate(keys))
+        edges = np.flatnonzero(np.diff(whole >> 40)) + 1
+        return {int(own[0] >> 40): own & ((1 << 40) - 1) for own in np.split(whole, edges) if len(own)}
+
+
 def sampled_places(length: int, walk: int) -> np.ndarray:
     """The sampled steps of each table, from 0 to 3 * length - 1."""
     numbers = mix(np.arange(TABLES * SAMPLED, dtype=U64), 1000 * length + walk)
@@ -102,7 +165,6 @@ class Items:
             if b - a >= MIN_WORDS:
                 self.ids.append(i)
                 self.words.append(hashed[a:b])
-        self.grams = np.unique(np.concatenate([window_hashes(w, GRAM) for w in self.words] or [np.zeros(0, U64)]))
         by_length = defaultdict(list)
         for i, w in enumerate(self.words):
             by_length[len(w)].append(i)
@@ -111,59 +173,50 @@ class Items:
             keys = cgk_keys(np.stack([self.words[i] for i in own]))
             order = np.argsort(keys.ravel(), kind="stable")
             self.tables[length] = keys.ravel()[order], np.repeat(np.array(own), keys.shape[1])[order]
-        self.quick = np.zeros(1 << 20, bool)
-        self.quick[(self.grams & U64((1 << 20) - 1)).astype(np.int64)] = True
-
-    def is_gram(self, grams: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.quick[(grams & U64((1 << 20) - 1)).astype(np.int64)])
-        out = np.zeros(len(grams), bool)
-        if len(at):
-            near = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
-            out[at] = self.grams[near] == grams[at]
-        return out
-
-    def candidates(self, hashed: np.ndarray, begin: np.ndarray, end: np.ndarray, hits: np.ndarray) -> set[tuple[int, int]]:
-        """(item, first word of the window) for windows at the ends of runs of groups; begin, end: the bounds of
-        the text that each word belongs to; hits: places of groups that items hold."""
+        by_size = defaultdict(list)
+        for w in self.words:
+            by_size[group_size(len(w), percent)].append(w)
+        self.groups = [Groups(size, own, percent) for size, own in by_size.items()]
+
+    def candidates(self, hashed: np.ndarray, begin: np.ndarray, end: np.ndarray) -> set[tuple[int, int]]:
+        """(item, first word of the window) for windows laid from the groups of each item; begin, end: the bounds
+        of the text that each word belongs to."""
         found: set[tuple[int, int]] = set()
-        total = np.cumsum(np.bincount(hits + 1, minlength=len(hashed) + 1))  # hits before each word
-        left = hits[np.append(True, (hits[1:] != hits[:-1] + 1) | (begin[hits[1:]] != begin[hits[:-1]]))]
-        right = hits[np.append((hits[1:] != hits[:-1] + 1) | (begin[hits[1:]] != begin[hits[:-1]]), True)] + GRAM
-        for length, (keys, items) in self.tables.items():
-            need = max(1, (length - GRAM + 1 - GRAM * allowed(length, self.percent)) // 2)
-            starts = np.unique(np.concatenate([
-                np.minimum(left, np.maximum(end[left] - length, begin[left])),
-                np.maximum(right - length, begin[right - 1]),
-            ]))
-            # A window may run past its text by the edits allowed; it is filled with empty words there.
-            starts = starts[starts + length <= end[starts] + allowed(length, self.percent)]
-            last = np.minimum(starts + length - GRAM + 1, len(total) - 1)
-            starts = starts[total[last] - total[starts] >= need]
-            for a in range(0, len(starts), 20_000):
-                own = starts[a : a + 20_000]
-                place = own[:, None] + np.arange(length)
-                asked = cgk_keys(np.where(place < end[own][:, None], hashed[np.minimum(place, len(hashed) - 1)], U64(0)))
-                low, high = np.searchsorted(keys, asked), np.searchsorted(keys, asked, "right")
-                for w, t in zip(*np.nonzero(high > low)):
-                    found.update((int(i), int(own[w])) for i in items[low[w, t] : high[w, t]])
+        for groups in self.groups:
+            hits, numbers = groups.find(hashed, end)
+            if not len(hits):
+                continue
+            total = np.cumsum(np.bincount(hits + 1, minlength=len(hashed) + 1))  # hits before each word
+            for length, starts in groups.starts(hits, numbers, begin, end, self.percent).items():
+                most = allowed(length, self.percent)
+                need = max(1, length - groups.size + 1 - groups.size * most)  # what a passage keeps at least
+                first = np.maximum(starts - most, begin[starts])
+                last = np.minimum(starts + length + 2 * most, end[starts]) - groups.size + 1
+                self.ask(length, starts[total[np.maximum(first, last)] - total[first] >= need], hashed, end, found)
         return found
 
+    def ask(self, length: int, starts: np.ndarray, hashed: np.ndarray, end: np.ndarray, found: set) -> None:
+        """Add (item, start) for the windows that share a table key with an item."""
+        keys, items = self.tables[length]
+        for a in range(0, len(starts), 20_000):
+            own = starts[a : a + 20_000]
+            place = own[:, None] + np.arange(length)
+            # A window may run past its text by the edits allowed; it is filled with empty words there.
+            asked = cgk_keys(np.where(place < end[own][:, None], hashed[np.minimum(place, len(hashed) - 1)], U64(0)))
+            low, high = np.searchsorted(keys, asked), np.searchsorted(keys, asked, "right")
+            for w, t in zip(*np.nonzero(high > low)):
+                found.update((int(i), int(own[w])) for i in items[low[w, t] : high[w, t]])
+
     def leaks(self, texts: pa.Array) -> list[list[dict]]:
         """For each text its items with distance, first word and number of words; the best passage of each."""
         words = Words(*text_bytes(texts, True))
         hashed, out = words.hashes(), [[] for _ in range(len(texts))]
-        if len(hashed) < GRAM or not self.words:
+        if not len(hashed) or not self.words:
             return out
         counts = np.diff(words.first)
         begin, end = np.repeat(words.first[:-1], counts), np.repeat(words.first[1:], counts)
-        grams = window_hashes(hashed, GRAM)
-        mine = self.is_gram(grams) & (np.arange(len(grams)) + GRAM <= end[: len(grams)])
-        mine[1:] &= grams[1:] != grams[:-1]
-        hits = np.flatnonzero(mine)
-        if not len(hits):
-            return out
         regions = defaultdict(list)
-        for item, start in sorted(self.candidates(hashed, begin, end, hits)):
+        for item, start in sorted(self.candidates(hashed, begin, end)):
             length = len(self.words[item])
             margin = length // 2 + allowed(length, self.percent)
             a, b = max(start - margin, int(begin[start])), min(start + length + margin, int(end[start]))

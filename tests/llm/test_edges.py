@@ -336,6 +336,27 @@ def test_recall_of_edited_passages():
     assert np.mean([any(h["item_id"] == e for h in f) for f, e in zip(found, expected)]) >= 0.95
 
 
+def test_leaks_of_nested_overlapping_short_and_repeated_items():
+    """Each item is looked for by its own groups, also inside a longer run that other items hold."""
+    import pyarrow as pa
+
+    b = [f"b{i}" for i in range(200)]
+    items = {1: b[90:110], 2: b, 3: b[100:130], 4: "s1 s2 s3 s4 s5".split(), 5: ["ha"] * 12}
+    known = decontaminate.Items(list(items), [" ".join(w) for w in items.values()], 20)
+    around = [f"z{i}" for i in range(30)]
+    texts = [
+        [*around, *b[65:135], *around], [*around, *b, *around], [*around, "s1", "s2", "new", "s4", "s5", *around],
+        ["x", *["ha"] * 12, "y"], [*around, *b[:89], *around], [*around, *b[50:97], "new", *b[98:150], *around],
+        b[92:110], ["s1", "s2", "s3", "s4"],
+    ]
+    found = known.leaks(pa.array([" ".join(t) for t in texts]))
+    for text, hits in zip(texts, found):
+        best = {i: decontaminate.best_match(np.array([hash(x) for x in w]), np.array([hash(x) for x in text]))[0]
+                for i, w in items.items()}
+        assert {h["item_id"]: h["distance"] for h in hits} == {i: d for i, d in best.items() if d <= len(items[i]) // 5}
+    assert [[h["item_id"] for h in hits] for hits in found] == [[1, 3], [1, 2, 3], [4], [5], [], [1, 3], [1], [4]]
+
+
 def test_scores(docs, none):
     counts, total = Counter(), sum(len(words(t)) for _, t in TEXTS)
     for _, t in TEXTS:
