@@ -35,6 +35,13 @@ BAD_WORDS = frozenset(
     "disclaimer contentinfo complementary skip hidden".split())
 BAD_IN_MAIN = frozenset("ad ads advert comment comments related reply replies sponsored".split())
 GOOD_WORDS = frozenset("article content post entry story main body text prose maincontent articlebody".split())
+#: Good words that never cancel a bad one, on the same element or around it.
+WEAK_WORDS = frozenset("body text content".split())
+#: A name with one of these tells what a region has beside it, not what it is.
+STATES = frozenset("has with without no".split())
+#: The head of a text is part of it (entry-header).
+TITLES = frozenset("header head".split())
+IN_HEAD = frozenset("title base link meta style script noscript template basefont bgsound noframes".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
@@ -43,28 +50,47 @@ SCOPES = frozenset("ul ol dl table article section div main aside nav body".spli
 SPLIT_NAME = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
+def marks(names: list[set[str]], bad_words: frozenset[str]) -> tuple[bool, set[str]]:
+    """(marked as boilerplate, words that mark content) from the words of each class, id and role."""
+    bad, good = False, set()
+    for words in names:
+        found, strong = words & bad_words, words & GOOD_WORDS - WEAK_WORDS
+        if found and words & STATES:
+            continue
+        if found and not (found <= TITLES and strong):
+            bad = True
+        else:
+            good |= words & GOOD_WORDS
+    return bad and good <= WEAK_WORDS, good
+
+
 class Node:
     """An open element: the region it belongs to and what its marks say."""
 
-    __slots__ = ("tag", "depth", "silent", "bad", "good", "region", "parent")
+    __slots__ = ("tag", "depth", "silent", "bad", "good", "wraps", "region", "parent")
 
     def __init__(self, tag: str, attrs: list, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.silent = tag in SILENT or bool(parent and parent.silent)
         self.bad, self.good = (parent.bad, parent.good) if parent else (0, 0)
+        self.wraps = bool(parent and parent.wraps)  # marked as boilerplate by forms only, which may hold whole pages
         self.region = parent.region if parent else self
-        words: set[str] = set()
+        names: list[set[str]] = []
         for name, value in attrs:
             if name in ("class", "id", "role"):
-                words.update(w.lower() for w in SPLIT_NAME.split(value or ""))
+                names += [{w.lower() for w in SPLIT_NAME.split(x)} for x in (value or "").split()]
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(
                     r"display\s*:\s*none|visibility\s*:\s*hidden", value or ""):
                 self.silent = True
-        bad = words & BAD_WORDS if tag not in MAIN else words & BAD_IN_MAIN
-        if tag in APART or tag == "header" and not self.good or bad and not words & GOOD_WORDS and tag != "body":
-            self.bad, self.region = self.bad + 1, self
-        elif tag in MAIN or words & GOOD_WORDS and tag != "body":
+        bad, good = marks(names, BAD_IN_MAIN if tag in MAIN else BAD_WORDS) if tag != "body" else (False, set())
+        # The nearest marked region decides: what lies around a bad region does not count for it.
+        if tag in APART or tag == "header" and not self.good or bad:
+            self.wraps = tag == "form" and not bad and (not self.bad or self.wraps)
+            self.bad, self.good, self.region = self.bad + 1, 0, self
+        elif tag in MAIN or good and not (self.bad and good <= (WEAK_WORDS - {"content"} if self.wraps else WEAK_WORDS)):
+            if tag == "main" or self.wraps:
+                self.bad, self.wraps = 0, False
             self.good, self.region = self.good + 1, self
 
 
@@ -93,7 +119,14 @@ class Blocks(HTMLParser):
             self.found.append((text, self.linked, self.place))
         self.parts, self.linked = [], 0
 
+    def end_head(self) -> None:
+        """End a head whose end tag is left out."""
+        if self.open[-1].tag == "head":
+            self.end("head")
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in VOID:
             if tag == "br":
                 self.parts.append(" ")
@@ -144,6 +177,8 @@ class Blocks(HTMLParser):
         self.end(tag)
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         if self.open[-1].silent:
             return
         self.place = self.holder()
@@ -155,7 +190,7 @@ class Blocks(HTMLParser):
 def score(text: str, linked: int, node: Node) -> int:
     """Above 0: content; below 0: boilerplate. Marked regions weigh most, then links, length and sentences."""
     words = text.count(" ") + 1
-    value = -60 * min(node.bad, 2) + 30 * min(node.good, 2)
+    value = -60 * min(node.bad, 2) + 30 * min(node.good, 1 if node.bad else 2)
     value += {"p": 8, "pre": 6, "blockquote": 8, "h1": 6, "h2": 4, "h3": 4, "li": -2, "td": 0}.get(node.tag, 0)
     value -= 24 * linked // max(len(text), 1)
     value += min(words, 40) // 4 - 4

@@ -87,6 +87,31 @@ def test_page_without_marks():
     assert text.startswith("Sentence number 0") and text.endswith("follows it here.") and text.count("Sentence") == 5
 
 
+STORY = "The story goes on here, and it is long enough to be read by all. A second sentence follows it."
+OTHER = "Buy this now, because the offer ends very soon for all of you. It is the best one of the year!"
+
+
+@pytest.mark.parametrize("open_tag", [
+    "<aside>", "<div class=ad>", "<div class=notice>", "<form>", "<div class=comments>", "<div class=comment-body>",
+    "<div class=ad-content>", "<div class=sidebar-content>", "<div class=footer-content>", "<div class=cookie-text>",
+    "<div class=main-nav>", "<div class=comment><div class=text>", "<aside><article><div class=entry>",
+    "<article class=comment-body>"])
+@pytest.mark.parametrize("outer", ["<main><article>", "<article><div class=content>", "<div class=post>"])
+def test_marked_regions_inside_content_go(outer, open_tag):
+    ends = "".join(f"</{t[1:].split('>')[0].split()[0]}>" for t in reversed([x for x in open_tag.replace("><", ">|<").split("|")]))
+    page = f"<body>{outer}<p>{STORY}</p>{open_tag}<p>{OTHER}</p>{ends}<p>{STORY}</p>"
+    assert extraction.main_text(page) == f"{STORY} {STORY}"
+
+
+@pytest.mark.parametrize("start", [
+    "<head><title>T</title><div>", "<head><title>T</title><meta charset=utf-8><p>", "<head><title>T</title>", "<head><script>x</script><b>",
+    "<form><div id=content><p>", "<div class=comments><main><p>", "<div class='post has-sidebar'><p>", "<form><article><p>",
+    "<article><div class=entry-header><p>"])
+def test_content_is_not_lost(start):
+    assert extraction.main_text(f"<html>{start}{STORY}") == STORY
+    assert extraction.main_text("<head><noscript><i>no</i></noscript><template><div>no</div></template></head>" + STORY) == STORY
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "<article><p>a &lt;b&gt; &am"), (4, "u", "<article><p>a &lt;b&gt; &am"),
              (5, "u", "<article>" + "<p>word here.</p>" * 3000), (6, "u", "</p></div>" + "<div>" * 600 + "<article>x y</article>")]
