@@ -9,6 +9,8 @@ the matching statistics reach `window`, the words go.
 Only anchors that occur twice are dealt out. Which ones do comes from counts over all documents, kept in a
 filter of fixed size that is broadcast; a wrong bit only deals out a run in vain. A run that occurs several
 times in one batch of a task is sent once: for the later documents the answer is known there.
+The runs of a frequent anchor are cut into single windows, each with its own hash as anchor: equal windows still
+meet, and a passage that many documents hold among different neighbours doesn't fill one shard.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from lexistat.llm.words import U64, Words, batches, mix, ranges, text_bytes, win
 WINDOW = 13
 GRAM = 6
 PIECE = 64
+HOT = 4096  # runs of an anchor from which on they are cut into windows
+HOT_BITS = 1 << 22
 BATCH_BYTES = 8_000_000
 
 
@@ -55,9 +59,33 @@ def runs(words: Words, hashed: np.ndarray, window: int = WINDOW) -> tuple[np.nda
     return text[new], at[new], np.diff(np.append(new, len(at))), anchor[new]
 
 
-def anchor_filter(docs: DataFrame, window: int, bits: int) -> tuple[np.ndarray, Filter]:
-    """Bits of the anchors that occur twice or more in all documents."""
-    repeat = Filter(bits, REPEAT_BITS)
+def cut_hot(runs_: tuple[np.ndarray, ...], hot: np.ndarray, hashed: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """The same windows, those of the runs marked in `hot` each as a run whose anchor is the window's hash."""
+    text, first, number, anchor = runs_
+    times = np.where(hot, number, 1)
+    row = np.repeat(np.arange(len(number)), times)
+    first = ranges(first, first + times)
+    whole = hot[row]
+    own = anchor[row]
+    own[whole] = mix(window_hashes(hashed, window)[first[whole]], 9)
+    return text[row], first, np.where(whole, 1, number[row]), own
+
+
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Rows (.., doc, mark, first word, words) with those that follow and touch in one document as one."""
+    if not len(spans):
+        return spans
+    same = (spans[1:, 1:3] == spans[:-1, 1:3]).all(1) & (spans[1:, 3] >= spans[:-1, 3])
+    same &= spans[1:, 3] <= spans[:-1, 3] + spans[:-1, 4]
+    new = np.flatnonzero(np.append(True, ~same))
+    out = spans[new]
+    out[:, 4] = np.maximum.reduceat(spans[:, 3] + spans[:, 4], new) - out[:, 3]
+    return out
+
+
+def anchor_filter(docs: DataFrame, window: int, bits: int, hot: int) -> tuple[np.ndarray, Filter, np.ndarray, Filter]:
+    """Bits of the anchors that occur twice or more in all documents, and of those of more than `hot` runs."""
+    repeat, often = Filter(bits, REPEAT_BITS), Filter(bits, HOT_BITS)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts, "text", BATCH_BYTES):
@@ -74,13 +102,16 @@ def anchor_filter(docs: DataFrame, window: int, bits: int) -> tuple[np.ndarray,
         order = np.argsort(rest, kind="stable")
         rest, times = rest[order], times[order]
         starts = np.flatnonzero(np.append(True, rest[1:] != rest[:-1]))
-        twice = rest[starts][np.add.reduceat(times.astype(np.int64), starts) > 1]
+        counts = np.add.reduceat(times.astype(np.int64), starts)
+        rest = rest[starts]
         return pa.table({"bucket": table.column("bucket")[:1].cast(pa.int32()),
-                         "repeat": pa.array([repeat.slice_of(twice)], pa.binary())})
+                         "repeat": pa.array([repeat.slice_of(rest[counts > 1])], pa.binary()),
+                         "often": pa.array([often.slice_of(rest[counts > hot])], pa.binary())})
 
     rows = docs.select("text").mapInArrow(count, "bucket int, rest binary, times binary")
-    found = rows.groupBy("bucket").applyInArrow(mark, "bucket int, repeat binary").collect()  # 16 MB in all
-    return repeat.whole({r.bucket: bytes(r.repeat) for r in found}), repeat
+    found = rows.groupBy("bucket").applyInArrow(mark, "bucket int, repeat binary, often binary").collect()  # 17 MB in all
+    return (repeat.whole({r.bucket: bytes(r.repeat) for r in found}), repeat,
+            often.whole({r.bucket: bytes(r.often) for r in found}), often)
 
 
 def matched(words: np.ndarray, facts: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
@@ -134,20 +165,22 @@ def matched(words: np.ndarray, facts: np.ndarray, window: int) -> list[tuple[int
     return out
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """(doc, mark, spans) from docs (doc, mark, text): first word and number of words of every repeated passage,
     as 32-bit numbers, in one row for each document that has any."""
     bits = bucket_bits(docs)
-    whole, repeat = anchor_filter(docs, window, bits)
-    sent = docs.sparkSession.sparkContext.broadcast(whole)  # of fixed size, 16 MB
+    twice, repeat, many, often = anchor_filter(docs, window, bits, hot)
+    sent = docs.sparkSession.sparkContext.broadcast((twice, many))  # of fixed size, 17 MB
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches(parts, "text", BATCH_BYTES):
             words = Words(*text_bytes(part.column("text")))
             hashed = words.hashes()
             text, first, number, anchor = runs(words, hashed, window)
-            keep = repeat.hit(sent.value, anchor)
+            keep = repeat.hit(sent.value[0], anchor)
             text, first, number, anchor = text[keep], first[keep], number[keep], anchor[keep]
+            text, first, number, anchor = cut_hot(
+                (text, first, number, anchor), often.hit(sent.value[1], anchor), hashed, window)
             size = number + window - 1
             doc = part.column("doc").to_numpy(zero_copy_only=False)[text]
             mark = part.column("mark").to_numpy(zero_copy_only=False)[text]
@@ -175,7 +208,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 own = ask[order[a:b]]
                 rows.append((int(bucket[order[a]]), hashed[ranges(first[own], first[own] + size[own])].tobytes(),
                              facts[own].tobytes(), b""))
-            for k, v in by_bucket(mix(doc[known].astype(U64)) >> U64(64 - bits), facts[known]):
+            known = merged(facts[known])
+            for k, v in by_bucket(mix(known[:, 1].astype(U64)) >> U64(64 - bits), known):
                 rows.append((k, b"", b"", v[0]))
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))
@@ -219,10 +253,10 @@ def text_of(words: Words, kept: np.ndarray, i: int) -> bytes:
     return b" ".join(data[a:b] for a, b in zip(words.start[own].tolist(), words.end[own].tolist()))
 
 
-def with_spans(docs: DataFrame, doc_id: str, text: str, window: int) -> tuple[DataFrame, str]:
+def with_spans(docs: DataFrame, doc_id: str, text: str, window: int, hot: int = HOT) -> tuple[DataFrame, str]:
     """The rows of `docs` with the repeated passages of each in a new column, and that column's name."""
     slim = docs.select(col(doc_id).cast("bigint").alias("doc"), F.xxhash64(col(text)).alias("mark"), col(text).alias("text"))
-    spans = settle(repeated_spans(slim, window))
+    spans = settle(repeated_spans(slim, window, hot))
     name, key, mark = (free_name(docs, x) for x in ("_spans", "_doc", "_mark"))
     spans = spans.toDF(key, mark, name)
     joined_rows = docs.join(spans, (col(doc_id).cast("bigint") == col(key)) & (F.xxhash64(col(text)) == col(mark)), "left")
@@ -252,7 +286,9 @@ def strip_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     ])
 
 
-def repeat_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def repeat_digests(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, hot: int = HOT,
+) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document, from the texts that `strip_repeats` leaves."""
 
     def digest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,6 +302,6 @@ def repeat_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             ], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows, spans = with_spans(docs.select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text")),
-                             "doc_id", "text", window)
+                             "doc_id", "text", window, hot)
     return rows.select("doc_id", "text", col(spans).alias("spans")).mapInArrow(
         digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

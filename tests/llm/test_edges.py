@@ -72,6 +72,26 @@ def test_substrings(docs, none):
     assert [r.text for r in stripped.where("doc_id = 4 or doc_id = 6").orderBy("doc_id").collect()] == [None, " \t\n "]
 
 
+def test_runs_of_a_frequent_anchor_are_spread_and_none_is_lost(spark, docs):
+    """A passage among different neighbours: its anchor's shard would hold a run of each document."""
+    passage = [f"p{k}" for k in range(15)]
+    texts = [" ".join([*(f"a{i}x{k}" for k in range(9)), *passage, *(f"b{i}x{k}" for k in range(9))]) for i in range(200)]
+    found = substrings.Words(*substrings.text_bytes(substrings.pa.array(texts)))
+    hashed = found.hashes()
+    whole = substrings.runs(found, hashed)
+    anchors, times = np.unique(whole[3], return_counts=True)
+    assert times.max() == 200
+    cut = substrings.cut_hot(whole, np.isin(whole[3], anchors[times > 20]), hashed, 13)
+    size = {a: set() for a in cut[3].tolist()}
+    for first, number, anchor in zip(*(x.tolist() for x in cut[1:])):
+        size[anchor].add(hashed[first : first + number + 12].tobytes())
+    assert max(map(len, size.values())) <= 20 and cut[2].sum() == whole[2].sum()
+    rows = frame(spark, [*TEXTS, *((100 + i, t) for i, t in enumerate(texts))]).repartition(3)
+    spread = Counter(tuple(r) for r in substrings.repeat_digests(rows, hot=1).collect())
+    assert spread == Counter(tuple(r) for r in substrings.repeat_digests(rows).collect())
+    assert sum(n for (i, _, gone, _), n in spread.items() if i and i > 100 and gone == 15) == 199
+
+
 def test_similar_groups(docs, none):
     sets = []
     for i, t in TEXTS:
