@@ -179,3 +179,51 @@ pairs AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(reach.b) AS component_id
 FROM d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.a = d.doc_id GROUP BY ALL
 """
+
+ASSIGN = """([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["\']?\\x20*[:=]\\x20*["\']?([A-Za-z0-9+/_.=-]+)"""
+CHECKS["op11_secret_scans"] = """
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), pattern(kind, name, p) AS (VALUES (0, 'assign', $ASSIGN), (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]{24,}'),
+    (3, 'owned', '[A-Za-z0-9+/_=-]{20,}')
+), listed AS (
+    SELECT r, 0 AS kind, regexp_extract_all(t, $ASSIGN) AS hits, string_split_regex(t, $ASSIGN) AS gaps FROM d
+    UNION ALL SELECT r, 1, regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+') FROM d
+    UNION ALL SELECT r, 2, regexp_extract_all(t, '[0-9a-f]{24,}'), string_split_regex(t, '[0-9a-f]{24,}') FROM d
+    UNION ALL SELECT r, 3, regexp_extract_all(t, '[A-Za-z0-9+/_=-]{20,}'), string_split_regex(t, '[A-Za-z0-9+/_=-]{20,}') FROM d
+), one AS (
+    SELECT r, kind, hits[k] AS hit, list_sum(list_transform(gaps[1:k], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0) AS s
+    FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM listed)
+), valued AS (
+    SELECT r, kind, s::BIGINT AS s, (s + length(hit))::BIGINT AS e,
+        CASE WHEN kind = 0 THEN regexp_extract(hit, $ASSIGN, 2) ELSE hit END AS v, length(hit) AS n FROM one
+), looked AS (
+    SELECT *, length(regexp_replace(v, '[^0-9]', '', 'g')) >= 4 AND length(regexp_replace(v, '[^A-Za-z]', '', 'g')) >= 4
+        AND len(list_distinct(string_split(v, ''))) >= 10 AS random FROM valued
+), base AS (SELECT * FROM looked WHERE (kind = 0 AND length(v) >= 6) OR (kind = 1 AND n >= 20) OR kind = 2),
+spans AS (
+    SELECT * FROM base
+    UNION ALL
+    SELECT * FROM looked o WHERE kind = 3 AND random
+        AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = o.r AND b.s < o.e AND o.s < b.e)
+), owners AS (
+    SELECT v, count(DISTINCT coalesce(source, chr(0))) AS n_owners,
+        count(DISTINCT (coalesce(source, chr(0)), coalesce(doc_id::VARCHAR, ''))) AS n_repositories
+    FROM spans JOIN d USING (r) GROUP BY v
+), judged AS (
+    SELECT *, CASE WHEN n_owners > 2 OR n_repositories > 20 THEN 'example' WHEN random THEN 'live' ELSE 'unclear' END AS verdict
+    FROM spans JOIN owners USING (v)
+), summed AS (
+    SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+        string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+        string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans,
+        count(*) FILTER (kind = 3) AS n_added, count(*) FILTER (verdict = 'live') AS n_live,
+        count(*) FILTER (verdict = 'example') AS n_example
+    FROM judged JOIN pattern USING (kind) WHERE kind < 3 OR verdict = 'live' GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added,
+    coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN summed USING (r)
+""".replace("$ASSIGN", "'" + ASSIGN.replace("'", "''") + "'")

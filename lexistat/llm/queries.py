@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexistat.llm import chat, decontaminate, extraction, jaccard, lmscore, packing, quality, sharding, substrings, tokenfiles
+from lexistat.llm import chat, decontaminate, extraction, jaccard, lmscore, packing, quality, secrets, sharding, substrings, tokenfiles
 from lexistat.llm.frames import shared_path
 from lexistat.llm.tokens import vocabulary_path
 from lexistat.plans.inputs import table
@@ -69,6 +69,14 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", f"{verdict}.*")
 
 
+def op11_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_digests(table(spark, folder, "documents").select("doc_id", "text", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_chat_formatting, op3_best_fit_packing, op4_token_output, op5_sharding, op6_decontamination, op7_lm_scoring, op8_html_extraction, op9_ngram_jaccard, op10_quality_rules)
+    f.__name__: f for f in (
+        op1_substring_dedup, op2_chat_formatting, op3_best_fit_packing, op4_token_output, op5_sharding,
+        op6_decontamination, op7_lm_scoring, op8_html_extraction, op9_ngram_jaccard, op10_quality_rules,
+        op11_secret_scans,
+    )
 }
