@@ -263,3 +263,25 @@ SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n,
     n.ends_sha256, n.turn_id
 FROM node n LEFT JOIN node p ON p.node = n.parent LEFT JOIN child c ON c.node = n.node JOIN below b ON b.node = n.node
 """
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+CHECKS["op13_ranked_search"] = f"""
+WITH term AS (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS t FROM documents
+), size AS (SELECT doc_id, count(*) AS n FROM term GROUP BY doc_id),
+total AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM size),
+posting AS (SELECT t, doc_id, count(*) AS tf FROM term GROUP BY ALL),
+weighted AS (
+    SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM posting, total
+    GROUP BY t, big_n
+), asked AS (
+    SELECT item_id, t, count(*) AS q FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{TERM}')) AS t FROM benchmark
+    ) GROUP BY ALL
+), scored AS (
+    SELECT item_id, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+    FROM asked JOIN weighted USING (t) JOIN posting USING (t) JOIN size USING (doc_id), total GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""

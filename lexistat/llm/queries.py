@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexistat.llm import chat, decontaminate, extraction, jaccard, lmscore, packing, quality, secrets, sharding, substrings, tokenfiles, trie
+from lexistat.llm import chat, decontaminate, extraction, jaccard, lmscore, packing, quality, search, secrets, sharding, substrings, tokenfiles, trie
 from lexistat.llm.frames import shared_path
 from lexistat.llm.tokens import vocabulary_path
 from lexistat.plans.inputs import table
@@ -77,10 +77,15 @@ def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return trie.prefix_trie(trie.rebuild(trie.conversation_records(table(spark, folder, "conversations"))))
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return search.ranked_search(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_substring_dedup, op2_chat_formatting, op3_best_fit_packing, op4_token_output, op5_sharding,
         op6_decontamination, op7_lm_scoring, op8_html_extraction, op9_ngram_jaccard, op10_quality_rules,
-        op11_secret_scans, op12_prefix_trie,
+        op11_secret_scans, op12_prefix_trie, op13_ranked_search,
     )
 }

@@ -73,6 +73,7 @@ def planted():
         rows += [(c, t, "user" if t % 2 else "assistant", f"t{t}" if t < depth else f"own {c} {t}") for t in range(8)]
     for c in range(200, 290):  # copies, in ids that are far apart
         rows += [(c * 1000, t, "user", f"copy {t}") for t in range(3)]
+    rows += [(c, 0, "user", "alone") for c in range(5001, 5010)]  # without a conversation to borrow from
     for c in (900, 901, 902):  # long conversations with one long common head
         rows += [(c, t, "user", f"long {t}" if t < 250 else f"{c} {t}") for t in range(300)]
     return rows
