@@ -56,7 +56,8 @@ def runs(words: Words, hashed: np.ndarray, window: int = WINDOW) -> tuple[np.nda
     new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])))
     number = np.diff(np.append(new, len(at)))
     new = ranges(np.zeros(len(new), np.int64), -(-number // PIECE)) * PIECE + np.repeat(new, -(-number // PIECE))
-    return text[new], at[new], np.diff(np.append(new, len(at))), anchor[new]
+    # A minimum of hashes is small: mixed, anchors fill buckets and filter slices evenly.
+    return text[new], at[new], np.diff(np.append(new, len(at))), mix(anchor[new], 9)
 
 
 def cut_hot(runs_: tuple[np.ndarray, ...], hot: np.ndarray, hashed: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
