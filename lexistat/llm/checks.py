@@ -39,14 +39,16 @@ WITH d AS (
     FROM (SELECT doc_id, source, unnest(l) AS x FROM d)
 ), lh AS (
     SELECT doc_id, source, md5(x) AS h, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words FROM ln WHERE x <> ''
-), least2 AS (
-    SELECT doc_id, list_sort(list_distinct(list(h))) AS s FROM lh GROUP BY doc_id
-), holders AS (
-    SELECT source, h, count(DISTINCT coalesce(CASE WHEN s[1] = h THEN s[2] ELSE s[1] END, '')) AS holders
-    FROM lh JOIN least2 USING (doc_id) GROUP BY source, h
+), copy AS (
+    SELECT doc_id, list(md5(trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g'))) ORDER BY p)
+        FILTER (trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) <> '') AS copy
+    FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS p FROM d) GROUP BY doc_id
+), held AS (SELECT d.doc_id, source, array_to_string(coalesce(copy, []), ',') AS copy FROM d JOIN copy USING (doc_id)),
+holders AS (
+    SELECT lh.source, h, count(DISTINCT copy) AS holders FROM lh JOIN held USING (doc_id) GROUP BY lh.source, h
 ), frequent AS (
     SELECT holders.source, h FROM holders
-    JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) z ON holders.source IS NOT DISTINCT FROM z.source
+    JOIN (SELECT source, count(DISTINCT copy) AS n FROM held GROUP BY source) z ON holders.source IS NOT DISTINCT FROM z.source
     WHERE holders > 20 AND holders * 100 > n * 2
 ), lost AS (
     SELECT doc_id, sum(words) AS lost FROM lh SEMI JOIN frequent
