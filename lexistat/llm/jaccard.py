@@ -385,17 +385,20 @@ def family_links(nodes: DataFrame, docs: DataFrame, doc_id: str, text: str) -> D
 
     def search(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        doc, label = table.column("doc").to_numpy(), table.column("label").to_numpy()
-        sets, found = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()], set()
+        doc = table.column("doc").to_numpy()
+        # Texts under one label are linked already; labels that a link joins become one group.
+        group = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+        sets, found = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()], []
         own, asked = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if len(own) and len(asked):
             index = Index([sets[i] for i in own])
             for q in asked:
-                seen = {label[q]}
-                for i in own[index.partners(sets[q])]:
-                    if label[i] not in seen:  # one link for each group that the text meets
-                        seen.add(label[i])
-                        found.add((int(doc[q]), int(doc[i])))
+                met = own[index.partners(sets[q])]
+                others, at = np.unique(group[met], return_index=True)
+                for other, i in zip(others, at):  # a spanning forest: fewer links than labels
+                    if other != group[q]:
+                        found.append((int(doc[q]), int(doc[met[i]])))
+                        group[group == other] = group[q]
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
     return tasks.groupBy("root", "block", "slice").applyInArrow(search, "a bigint, b bigint")
