@@ -7,16 +7,16 @@ never taken for duplicates, and an empty table passes through every stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexistat.llm import decontaminate, jaccard, packing, quality, substrings
-from lexistat.llm.frames import col, settle
+from lexistat.llm.frames import col, free_name, settle
 from lexistat.llm.tokens import vocabulary_path
 from lexistat.plans.inputs import table
 
-# Edit distances, minimum-bin-slack plans and tokenizers have no SQL form; tests/llm holds the stages against
-# brute force instead.
+# Edit distances, minimum-bin-slack plans and tokenizers have no SQL form; tests/llm/test_pipeline.py holds the rows
+# of every stage against plain Python instead.
 ORACLE_SQL = None
 
 
@@ -29,12 +29,24 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingle sets, the one with the smallest doc_id; of rows with equal ids, one."""
+    """Of documents linked by similar shingle sets, the one with the smallest doc_id.
+
+    Rows with that doc_id and different texts all stay. Of rows with equal doc_id and text, the first by their other
+    columns stays, so a task that runs twice keeps the same rows.
+    """
     groups = jaccard.similar_groups(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     # The ids kept grow with the documents: they are merged, never broadcast.
-    known = docs.where("doc_id is not null").join(first.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.union(docs.where("doc_id is null")).select(*[col(c) for c in docs.columns])
+    known = docs.where("doc_id is not null").join(first.hint("merge"), "doc_id", "left_semi")
+    others = [
+        F.to_json(F.struct(col(f.name))) if any(x in f.dataType.simpleString() for x in ("map<", "variant")) else col(f.name)
+        for f in docs.schema.fields if f.name not in ("doc_id", "text")
+    ]
+    number = free_name(docs, "_number")
+    same = Window.partitionBy("doc_id", "text").orderBy(*others or [F.lit(0)])
+    known = known.withColumn(number, F.row_number().over(same)).where(col(number) == 1)
+    columns = [col(c) for c in docs.columns]
+    return known.select(*columns).union(docs.where("doc_id is null").select(*columns))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
