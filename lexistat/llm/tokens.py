@@ -17,7 +17,8 @@ import pyarrow as pa
 
 from lexistat.llm.words import IS_SPACE, ranges, text_bytes
 
-CACHE_ENTRIES = 600_000
+CACHE_BYTES = 64_000_000
+ENTRY_BYTES = 180  # of a dictionary entry and its two objects, besides their content
 IS_LETTER, IS_MARK = np.zeros(256, bool), np.zeros(256, bool)
 IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
 IS_MARK[list(b".,;:!?*#$%&)")] = True
@@ -57,24 +58,31 @@ def worker_encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """Encodes columns of texts; keeps the ids of pieces seen before, up to a fixed number of them."""
+    """Encodes columns of texts; keeps the ids of pieces seen before, in two generations of bounded bytes.
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    A full generation becomes the old one, and pieces met again move to the new one, so frequent pieces stay.
+    """
+
+    def __init__(self, path: str, most: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.entries = Tokenizer.from_file(path), {}, entries
+        self.tokenizer, self.known, self.old, self.size, self.most = Tokenizer.from_file(path), {}, {}, 0, most // 2
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece as little-endian unsigned 32-bit numbers."""
-        known = self.known
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > self.entries:
-            known.clear()
-            new = pieces
+        known, old = self.known, self.old
+        fresh = [p for p in pieces if p not in known]
+        new = [p for p in fresh if p not in old]
         found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known.update(zip(new, (array("I", e.ids).tobytes() for e in found)))
-        return [known[p] for p in pieces]
+        added = {p: old[p] for p in fresh if p in old}
+        added.update(zip(new, (array("I", e.ids).tobytes() for e in found)))
+        known.update(added)
+        self.size += ENTRY_BYTES * len(added) + sum(map(len, added)) + sum(map(len, added.values()))
+        out = [known[p] for p in pieces]
+        if self.size > self.most:
+            self.known, self.old, self.size = {}, known, 0
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each text in them); null as empty."""

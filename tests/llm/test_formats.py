@@ -129,3 +129,17 @@ def test_cut_is_minimal():
     flow.join(1, 3, 4, 0)
     flow.join(0, 1, 1, 1)
     assert flow.run(2, 3) == [True, False, True, False]
+
+
+def test_kept_pieces_are_bounded_by_bytes():
+    """Small generations give the ids of whole texts too, and long pieces don't pile up."""
+    import pyarrow as pa
+    from lexistat.llm.tokens import Encoder, vocabulary_path
+
+    small, whole = (Encoder(vocabulary_path("byte_bpe_50k.json"), most) for most in (20_000, 64_000_000))
+    for k in range(6):
+        texts = pa.array([f"common words of all texts {i} " + "x" * (i * 700) + f" own{k}{i}" for i in range(20)])
+        a, b = small.encode(texts), whole.encode(texts)
+        assert a[0].tolist() == b[0].tolist() and a[1].tolist() == b[1].tolist()
+        assert small.size <= 10_000
+    assert " of" in small.known or " of" in small.old
