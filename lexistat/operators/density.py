@@ -1,15 +1,15 @@
-"""Density clusters: connected groups of dense points over a ladder of radii, chosen by stability.
+"""Density clusters: connected groups of dense points at every distance, chosen by stability.
 
-A point is dense at radius r when its `min_samples` nearest other points are within r. Dense points
-within r of each other are linked, and the connected groups with at least `min_cluster_size` rows are
-the clusters of that radius. Over falling radii the clusters form a tree, from which the branches
-with the greatest excess of mass are taken. Rows outside every chosen cluster are noise (-1).
+Two rows are as far apart as the largest of their distance and of their core distances (to the `min_samples`
+nearest other row). Links by rising distance give a tree of groups; those of at least `min_cluster_size` rows are
+clusters, and the branches with the greatest excess of mass are taken. Rows outside every chosen cluster are noise.
+
+Only links of minimum spanning forests are written. Points lie in cells around pivots; a pair of cells is compared
+only if some link between them can be lighter than the way over the pivots, and a pair of blocks sends one forest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,17 +17,13 @@ from pyspark.sql import functions as F
 
 from lexistat.functions.session import cut_lineage
 from lexistat.functions.sums import matrix
-from lexistat.operators.cells import (
-    assign_cells,
-    block_pairs,
-    distances,
-    pick_pivots,
-    reachable_cells,
-)
+from lexistat.operators.cells import MAX_PIVOTS, SLACK, assign_cells, block_pairs, distances, pick_pivots
+from lexistat.operators.condense import RUN_LINKS, chosen_clusters, cluster_tree
 from lexistat.operators.neighbours import distinct_vectors, knn_graph
-from lexistat.operators.stack import first_rows_of
 
 NOISE = -1
+CELL_ROWS = 512
+BLOCK_ROWS = 2048
 
 
 def connected_groups(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -73,207 +69,134 @@ def core_distances(df: DataFrame, key: str, vector: str, min_samples: int) -> Da
     )
 
 
-def radius_links(points: DataFrame, radii: Sequence[float], seed: int = 42) -> DataFrame:
-    """(level, a, b): links that connect all dense points within each radius.
-
-    `points` has id, vector, core. A pair of blocks does not send all its close pairs, only a
-    spanning forest of them: fewer links than it has points.
+def snapped(weights: np.ndarray) -> np.ndarray:
+    """Weights to 40 binary digits: equal distances that were rounded differently stay equal."""
+    part, power = np.frexp(weights)
+    return np.ldexp(np.round(part * 2.0**40) / 2.0**40, power)
+
+
+def spanning_links(weights: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row, column) of a minimum spanning forest of the links between rows and columns, or between the rows
+    of one block (`same`), by growing one tree at a time. Infinite weights are no links."""
+    n, m = weights.shape
+    across, total = weights.T.copy(), n if same else n + m
+    best, reached = np.full(total, np.inf), np.zeros(total, bool)
+    origin, out = np.full(total, -1), []
+    for _ in range(total):
+        at = int(np.argmin(np.where(reached, np.inf, best)))
+        if reached[at] or not np.isfinite(best[at]):
+            at = int(np.argmin(reached))  # no link leads on: a new tree
+        elif origin[at] >= 0:
+            out.append((origin[at], at))
+        reached[at] = True
+        if same:
+            low, line = 0, weights[at]
+        elif at < n:
+            low, line = n, weights[at]
+        else:
+            low, line = 0, across[at - n]
+        part, open_ = slice(low, low + len(line)), ~reached[low : low + len(line)]
+        closer = open_ & (line < best[part])
+        best[part][closer] = line[closer]
+        origin[part][closer] = at
+    ends = np.array(out, dtype=int).reshape(-1, 2)
+    if same:
+        return ends[:, 0], ends[:, 1]
+    ends = np.sort(ends, axis=1)
+    return ends[:, 0], ends[:, 1] - n
+
+
+def cell_pairs(placed: DataFrame, pivots: np.ndarray) -> list[tuple[int, int, float]]:
+    """(i, j, bound): pairs of cells that may hold a link of the spanning tree, and the heaviest such link.
+
+    Any two points are joined by the way point, pivot, pivots, pivot, point; a link heavier than each step of that
+    way is in no minimum spanning tree. At most one number per pair of pivots.
     """
-    ladder = np.asarray(radii, dtype=float)
-    n = points.count()
-    pivots = pick_pivots(points, n, seed)
-    placed = assign_cells(points, pivots, "euclidean").persist()
-    far = np.zeros(len(pivots))
-    for row in placed.groupBy("cell").agg(F.max("gap").alias("far")).collect():
-        far[row["cell"]] = row["far"]
-    columns = ["id", "vector", "core"]
-    partners = reachable_cells(points, pivots, far + ladder.max(), "euclidean", columns)
+    far, star, core = np.zeros(len(pivots)), np.full(len(pivots), -1.0), np.full(len(pivots), np.inf)
+    for r in placed.groupBy("cell").agg(
+        F.max("gap").alias("far"), F.max(F.greatest("gap", "core")).alias("star"), F.min_by("core", "gap").alias("core")
+    ).collect():
+        far[r["cell"]], star[r["cell"]], core[r["cell"]] = r["far"], r["star"], r["core"]
+    used = np.flatnonzero(star >= 0)
+    between = distances(pivots, pivots, "euclidean")
+    star = np.maximum(star, core)  # the nearest point of a cell is its pivot, or a copy
+    steps = np.maximum(between, np.maximum(core[:, None], core[None, :]))[np.ix_(used, used)]
+    np.fill_diagonal(steps, np.inf)
+    way = np.zeros((len(used), len(used)))
+    a, b = spanning_links(steps, True)
+    seen = [int(a[0])] if len(a) else []
+    for x, y in zip(a, b):  # links come in the order in which the tree grew: y is new, x is not
+        way[y, seen] = way[seen, y] = np.maximum(way[x, seen], steps[x, y])
+        way[y, x] = way[x, y] = steps[x, y]
+        seen.append(int(y))
+    out = []
+    for p, i in enumerate(used):
+        bound = np.maximum(np.maximum(star[i], star[used[p:]]), way[p, p:])
+        apart = between[i, used[p:]] - far[i] - far[used[p:]]
+        for q in np.flatnonzero(apart <= bound + SLACK):
+            out.append((int(i), int(used[p + q]), float(bound[q])))
+    return out
+
+
+def tree_links(points: DataFrame, n: int, seed: int = 42, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(w, a, b): links that hold a minimum spanning tree of points (id, vector, core), by mutual reachability."""
+    pivots = pick_pivots(points, n, seed, max(1, min(MAX_PIVOTS, n // cell_rows)))
+    placed = cut_lineage(assign_cells(points.select("id", "vector", "core"), pivots, "euclidean"))
+    wanted = cell_pairs(placed, pivots)
+    plan = F.broadcast(points.sparkSession.createDataFrame(  # at most one row per pair of pivots
+        [(k, i, j, b) for k, (i, j, b) in enumerate(wanted)], "pair int, i int, j int, bound double"))
+
+    def side(cell: str) -> DataFrame:
+        rows = placed.select("id", "vector", "core", F.col("cell").alias(cell)).join(plan, cell)
+        rows = rows.select("id", "vector", "core", "bound", (F.col("i") == F.col("j")).alias("same"), F.col("pair").alias("cell"))
+        return rows.toDF(*rows.columns)  # columns of their own for each side
 
     def forest(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         gaps = distances(matrix(one["vector"]), matrix(two["vector"]), "euclidean")
-        core = np.maximum(one["core"].to_numpy()[:, None], two["core"].to_numpy()[None, :])
-        reach = np.maximum(gaps, core)
         left, right = one["id"].to_numpy(), two["id"].to_numpy()
-        reach[left[:, None] == right[None, :]] = np.inf
-        parts = []
-        for level, radius in enumerate(ladder):
-            a, b = _spanning_links(reach <= radius)
-            parts.append(pd.DataFrame({"level": level, "a": left[a], "b": right[b]}))
-        return pd.concat(parts, ignore_index=True)
+        weights = snapped(np.maximum(gaps, np.maximum(one["core"].to_numpy()[:, None], two["core"].to_numpy()[None, :])))
+        weights[weights > one["bound"].iloc[0] * (1 + SLACK) + SLACK] = np.inf
+        weights[left[:, None] == right[None, :]] = np.inf
+        block = bool(one["same"].iloc[0]) and len(left) == len(right) and set(left) == set(right)
+        if block:
+            order = np.argsort(right, kind="stable")[np.argsort(np.argsort(left, kind="stable"))]
+            weights, right = weights[:, order], right[order]
+        a, b = spanning_links(weights, block)
+        return pd.DataFrame({"w": weights[a, b], "a": left[a], "b": right[b]})
 
     kind = points.schema["id"].dataType.simpleString()
-    return block_pairs(
-        placed.select(*columns, "cell"), partners, forest, f"level int, a {kind}, b {kind}"
-    ).distinct()
-
+    return block_pairs(side("i"), side("j"), forest, f"w double, a {kind}, b {kind}", block_rows)
 
-def _spanning_links(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a spanning forest of the two-sided graph `close`, by growing one tree at a time."""
-    rows_left = close.any(axis=1)
-    cols_left = close.any(axis=0)
-    a: list[np.ndarray] = []
-    b: list[np.ndarray] = []
-    while rows_left.any():
-        frontier = np.array([rows_left.argmax()])
-        rows_left[frontier] = False
-        while len(frontier):
-            hit = close[frontier] & cols_left
-            cols = np.flatnonzero(hit.any(axis=0))
-            a.append(frontier[hit[:, cols].argmax(axis=0)])
-            b.append(cols)
-            cols_left[cols] = False
-            back = close[:, cols] & rows_left[:, None]
-            frontier = np.flatnonzero(back.any(axis=1))
-            a.append(frontier)
-            b.append(cols[back[frontier].argmax(axis=1)] if len(cols) else cols)
-            rows_left[frontier] = False
-    if not a:
-        return np.empty(0, dtype=int), np.empty(0, dtype=int)
-    return np.concatenate(a).astype(int), np.concatenate(b).astype(int)
 
-
-def radius_ladder(cores: DataFrame, steps: int) -> list[float]:
-    """Falling radii: one that links almost all rows, multiples of a high share of the core distances, then
-    shares of them from 95 to 5 percent. Shares follow the rows, so far points do not move the others' radii."""
-    shares = [float(x) for x in np.linspace(0.95, 0.05, max(2, steps - 4))]
-    finite = cores.where(F.col("core") < float("inf"))
-    found, high = finite.agg(F.percentile_approx("core", shares, 10_000), F.max("core")).first()
-    if high is None:
-        return []
-    wide = [found[0] * k for k in (16.0, 4.0, 2.0)]
-    top = max(2.0 * float(high), 1e-12)
-    return sorted({top, *(min(max(float(r), 1e-12), top) for r in (*wide, *found))}, reverse=True)
-
-
-def density_levels(
-    df: DataFrame, key: str, vector: str, radii: Sequence[float], min_samples: int,
-    cores: DataFrame | None = None,
-) -> DataFrame:
-    """(level, key, root): the connected group of each dense row at each radius."""
-    cores = core_distances(df, key, vector, min_samples) if cores is None else cores
-    points, members = distinct_vectors(df, key, vector, "euclidean")
-    cored = points.join(cores.withColumnRenamed("key", "id"), "id")
-    steps = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("level"), F.lit(float(r)).alias("radius")) for i, r in enumerate(radii)
-    ]))
-    dense = cored.select("id", "core", steps.alias("s")).where("core <= s.radius").select("s.level", "id")
-    roots = connected_groups(dense, radius_links(cored, radii))
-    return roots.join(members, "id").select("level", F.col("member").alias("key"), "root")
+def linked_pieces(links: DataFrame) -> DataFrame:
+    """(id, piece): the smallest end of the connected links around each end."""
+    edges = links.select(F.lit(0).alias("level"), "a", "b")
+    nodes = edges.select("level", F.col("a").alias("id")).union(edges.select("level", "b")).distinct()
+    return connected_groups(nodes, edges).select("id", F.col("root").alias("piece"))
 
 
 def density_cluster(
     df: DataFrame, key: str, vector: str = "embedding", min_cluster_size: int = 10,
-    min_samples: int | None = None, steps: int = 10,
+    min_samples: int | None = None, run_links: int = RUN_LINKS, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """(key, root): the chosen cluster of each row, named by its smallest row; null is noise."""
     k = int(min_samples or min_cluster_size)
-    cores = cut_lineage(core_distances(df, key, vector, k))
-    radii = radius_ladder(cores, steps)
     keys = df.select(F.col(key).alias("key"))
-    if not radii:
-        return keys.withColumn("root", F.lit(None).cast(df.schema[key].dataType))
-    levels = density_levels(df, key, vector, radii, k, cores)
-    sizes = levels.groupBy("level", "root").agg(F.count(F.lit(1)).alias("size"))
-    large = sizes.where(F.col("size") >= int(min_cluster_size))
-    levels = cut_lineage(levels.join(large, ["level", "root"]).select("level", "key", "root", "size"))
-    chosen = _choose_branches(levels, [1.0 / r for r in radii])
-    # Branches do not overlap; a row takes its branch at the widest radius where it belongs to it.
-    members = levels.join(chosen, ["level", "root"]).groupBy("key").agg(
-        F.min_by("branch_root", "level").alias("root")
-    )
-    return keys.join(members, "key", "left")
-
-
-def _choose_branches(levels: DataFrame, inverse: Sequence[float]) -> DataFrame:
-    """(level, root, branch_root) of the selected branches of the cluster tree.
-
-    Works on the table of clusters, one row per level and root: a cluster with one large child
-    lives on in it, with several it ends and they begin.
-    """
-    nodes = levels.select("level", "root", "size").distinct()
-    parents = levels.select(
-        "key", (F.col("level") + 1).alias("level"), F.col("root").alias("parent")
-    )
-    links = levels.select("key", "level", "root").join(parents, ["key", "level"]).select(
-        "level", "root", "parent"
-    ).distinct()
-    siblings = links.withColumn(
-        "children", F.count(F.lit(1)).over(Window.partitionBy("level", "parent"))
-    )
-    tree = cut_lineage(nodes.join(siblings, ["level", "root"], "left"))
-    last = len(inverse) - 1
-    gain = F.array(*[F.lit(v) for v in inverse])
-
-    # Top down: name each cluster's branch by the level and root where it began.
-    named = None
-    for level in range(last + 1):
-        here = tree.where(F.col("level") == level)
-        if named is None:
-            step = here.select("level", "root", "size", F.lit(level).alias("born"),
-                               F.col("root").alias("branch_root"),
-                               F.lit(None).cast("int").alias("up_born"),
-                               F.lit(None).cast(here.schema["root"].dataType).alias("up_root"))
-            step = cut_lineage(step)
-            named = step
-        else:
-            above = previous.select(
-                F.col("root").alias("parent"), F.col("born").alias("p_born"),
-                F.col("branch_root").alias("p_root"), F.col("up_born").alias("p_up_born"),
-                F.col("up_root").alias("p_up_root"),
-            )
-            only = F.col("children") == 1
-            step = here.join(above, "parent", "left").select(
-                "level", "root", "size",
-                F.when(only, F.col("p_born")).otherwise(F.lit(level)).alias("born"),
-                F.when(only, F.col("p_root")).otherwise(F.col("root")).alias("branch_root"),
-                F.when(only, F.col("p_up_born")).otherwise(F.col("p_born")).alias("up_born"),
-                F.when(only, F.col("p_up_root")).otherwise(F.col("p_root")).alias("up_root"),
-            )
-            step = cut_lineage(step)  # each level reads the one above, so plans stay short
-            named = named.unionByName(step)
-        previous = step
-    width = F.element_at(gain, F.col("level") + 1) - F.when(
-        F.col("level") > F.col("born"), F.element_at(gain, F.greatest(F.col("level"), F.lit(1)))
-    ).otherwise(F.element_at(gain, F.col("level") + 1))
-    branches = named.groupBy("born", "branch_root", "up_born", "up_root").agg(
-        F.sum(F.col("size") * width).alias("mass")
-    )
-    roots = named.where("level = 0").count()
-    if roots == 1:  # the whole table as one cluster is not a choice
-        branches = branches.withColumn(
-            "mass", F.when(F.col("born") == 0, F.lit(-1.0)).otherwise(F.col("mass"))
-        )
-    branches = cut_lineage(branches.withColumn("best", F.col("mass")))
-    # Bottom up: a branch stays when it outweighs the best choice inside it.
-    settled = branches.where(F.col("born") == last).withColumn("inner", F.lit(0.0))
-    settled = settled.select("born", "branch_root", "up_born", "up_root", "mass", "best", "inner")
-    for level in range(last - 1, -1, -1):
-        inside = settled.groupBy(
-            F.col("up_born").alias("born"), F.col("up_root").alias("branch_root")
-        ).agg(F.sum("best").alias("inner"))
-        here = branches.where(F.col("born") == level).join(inside, ["born", "branch_root"], "left")
-        here = here.select(
-            "born", "branch_root", "up_born", "up_root", "mass",
-            F.greatest("mass", F.coalesce("inner", F.lit(0.0))).alias("best"),
-            F.coalesce("inner", F.lit(0.0)).alias("inner"),
-        )
-        settled = cut_lineage(settled.unionByName(here))
-    # Top down again: nothing inside a chosen branch is chosen.
-    open_up = None
-    picked = None
-    for level in range(last + 1):
-        here = settled.where(F.col("born") == level)
-        if open_up is not None:
-            here = here.join(
-                open_up.select(F.col("born").alias("up_born"), F.col("branch_root").alias("up_root")),
-                ["up_born", "up_root"], "left_semi",
-            )
-        stays = (F.col("mass") >= F.col("inner")) & (F.col("mass") >= 0)
-        take = here.where(stays).select("born", "branch_root")
-        picked = take if picked is None else picked.unionByName(take)
-        rest = here.where(~stays).select("born", "branch_root")
-        open_up = cut_lineage(rest if open_up is None else open_up.unionByName(rest))
-    return named.join(picked, ["born", "branch_root"]).select("level", "root", "branch_root")
+    nobody = keys.withColumn("root", F.lit(None).cast(df.schema[key].dataType))
+    cores = cut_lineage(core_distances(df, key, vector, k))
+    points, members = distinct_vectors(df, key, vector, "euclidean")
+    members = cut_lineage(members)
+    copies = members.groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+    points = cut_lineage(points.join(cores.withColumnRenamed("key", "id"), "id").join(copies, "id"))
+    n, widest = points.agg(F.count(F.lit(1)), F.max("core")).first()
+    if not n or widest == float("inf"):  # fewer rows than a core needs
+        return nobody
+    links = cut_lineage(tree_links(points, n, block_rows=block_rows, cell_rows=cell_rows))
+    joined, nodes = cluster_tree(links, points, int(min_cluster_size), linked_pieces, run_links)
+    chosen = joined.join(chosen_clusters(nodes).where("top is not null"), "cluster").select("id", "top")
+    rows = cut_lineage(chosen.join(members, "id").select(F.col("member").alias("key"), "top"))
+    named = rows.groupBy("top").agg(F.min("key").alias("root"))
+    return keys.join(rows.join(named, "top").select("key", "root"), "key", "left")
 
 
 def renumber_topics(assigned: DataFrame) -> DataFrame:
@@ -285,7 +208,3 @@ def renumber_topics(assigned: DataFrame) -> DataFrame:
     return assigned.join(numbers, "root", "left").select(
         "key", F.coalesce("topic_id", F.lit(NOISE)).alias("topic_id")
     )
-
-
-__all__ = ["connected_groups", "core_distances", "density_cluster", "density_levels", "first_rows_of",
-           "radius_links", "renumber_topics"]

@@ -83,25 +83,9 @@ def test_projection_options_follow_the_topic_fit():
         project.projection_from_topic_options(manual, True, {"cluster_reduce_method": "tsne"})
 
 
-def test_groups_at_a_radius_equal_brute_force(spark):
-    points = RNG.uniform(0, 10, (120, 2))
-    points[:30] = points[0]
-    radius, k = 0.9, 3
-    cores = density.core_distances(frame(spark, points), "id", "embedding", k)
-    got = density.density_levels(frame(spark, points), "id", "embedding", [radius], k, cores).collect()
-    gap = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
-    dense = np.sort(gap + np.where(np.eye(120, dtype=bool), np.inf, 0), axis=1)[:, k - 1] <= radius
-    label = {i: i for i in np.flatnonzero(dense)}
-    for _ in range(130):
-        for i in label:
-            near = [label[j] for j in label if gap[i, j] <= radius]
-            label[i] = min(near + [label[i]])
-    assert {r["key"]: r["root"] for r in got} == label
-
-
 def test_clusters_and_noise(spark):
     blobs = np.vstack([RNG.randn(40, 2) * 0.3 + c for c in ((0, 0), (8, 0), (0, 9))] + [RNG.uniform(-30, 30, (6, 2))])
-    numbers = density.renumber_topics(density.density_cluster(frame(spark, blobs), "id", min_cluster_size=10, steps=8))
+    numbers = density.renumber_topics(density.density_cluster(frame(spark, blobs), "id", min_cluster_size=10))
     got = {r["key"]: r["topic_id"] for r in numbers.collect()}
     for start in (0, 40, 80):
         inside = {got[i] for i in range(start, start + 40)} - {-1}
