@@ -147,21 +147,84 @@ def _adjust_levels(levels: DataFrame, method: str) -> DataFrame:
     return levels.withColumn("p_adjusted", F.least(value, F.lit(1.0)))
 
 
+PIECES = 64  # parts of a family, by the hash of the p-value
+
+
+def lower_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Positions of the corners of the lower convex hull of points with ascending x."""
+    kept: list[int] = []
+    for i in range(len(x)):
+        while len(kept) > 1:
+            a, b = kept[-2], kept[-1]
+            if (x[b] - x[a]) * (y[i] - y[a]) > (x[i] - x[a]) * (y[b] - y[a]):
+                break
+            kept.pop()
+        kept.append(i)
+    return np.array(kept, dtype=int)
+
+
+def least_bounds(sizes: np.ndarray, x: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
+    """For each size k, k times the least p / (rank - (m - k)) over the ranks beyond m - k.
+
+    That is the flattest line from (m - k, 0) to a level; it touches the hull (x, y) of all levels, because levels
+    to the left lie above it anyway. Size 0 has no bound, sizes beyond m have none left.
+    """
+    start = m - sizes
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rise = np.diff(y)
+        cross = np.where(rise > 0, x[:-1] - y[:-1] * np.diff(x) / rise, -np.inf)
+        at = np.searchsorted(np.maximum.accumulate(cross), start, side="right") if len(cross) else np.zeros(len(sizes), int)
+        best = np.full(len(sizes), np.inf)
+        for step in (-1, 0, 1):  # the neighbours too, where rounding moved a corner
+            q = np.clip(at + step, 0, len(x) - 1)
+            room = x[q] - start
+            best = np.minimum(best, np.where(room > 0, sizes * y[q] / room, np.inf))
+    return np.where(sizes > m, 0.0, np.where(sizes < 1, np.inf, best))
+
+
 def _hommel(levels: DataFrame) -> DataFrame:
-    """Hommel's procedure on the distinct p-values of each family."""
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_p")
-        p, last, m = pdf["_p"].to_numpy(), pdf["last"].to_numpy(), int(pdf["m"].iloc[0])
-        out = p.copy()
-        for size in range(m, 1, -1):
-            place = last - (m - size)  # rank of each level among the `size` largest
-            inside = place >= 1
-            least = np.min(size * p[inside] / place[inside])
-            out = np.maximum(out, np.where(inside, least, np.minimum(size * p, least)))
-        return pd.DataFrame({"_family": pdf["_family"], "_p": p, "p_adjusted": np.minimum(out, 1.0)})
-
-    return levels.groupBy("_family").applyInPandas(
+    """Hommel's procedure on the distinct p-values of each family.
+
+    With c_k = least_bounds(k), which falls as k grows, a p-value is adjusted to min(k p, c_k) for the smallest k
+    with k p >= c_(k + 1). Hulls are built in hash pieces and merged, so a task gets a piece of a family or the
+    corners of its hull, and each piece searches k for its own p-values by halving.
+    """
+    piece = F.pmod(F.xxhash64("_p"), F.lit(PIECES)).cast("int")
+    rows = levels.select(F.col("_family"), "_p", F.col("last").cast("double").alias("last"), "m", piece.alias("piece"))
+
+    def hull_of(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        x, y = pdf["last"].to_numpy(), pdf["_p"].to_numpy()
+        order = np.argsort(x, kind="stable")
+        kept = order[lower_hull(x[order], y[order])]
+        return x[kept], y[kept]
+
+    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = hull_of(pdf)
+        return pd.DataFrame({"_family": [str(pdf["_family"].iloc[0])] * len(x), "_p": y, "last": x})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = hull_of(pdf)
+        return pd.DataFrame({"_family": [str(pdf["_family"].iloc[0])], "x": [x], "y": [y]})
+
+    parts = rows.groupBy("_family", "piece").applyInPandas(corners, "_family string, _p double, last double")
+    hulls = parts.groupBy("_family").applyInPandas(whole, "_family string, x array<double>, y array<double>")
+    # One hull for each piece of a family.
+    dealt = hulls.select("_family", "x", "y", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("piece"))
+
+    def solve(own: pd.DataFrame, hull: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame()
+        x, y = (np.asarray(hull[c].iloc[0], dtype=float) for c in ("x", "y"))
+        p, m = own["_p"].to_numpy(), int(own["m"].iloc[0])
+        low, high = np.zeros(len(p), np.int64), np.full(len(p), m, np.int64)
+        while (low < high).any():
+            middle = (low + high) // 2
+            enough = middle * p >= least_bounds(middle + 1, x, y, m)
+            high, low = np.where(enough, middle, high), np.where(enough, low, middle + 1)
+        out = np.minimum(low * p, least_bounds(low, x, y, m))
+        return pd.DataFrame({"_family": [str(own["_family"].iloc[0])] * len(p), "_p": p, "p_adjusted": np.clip(out, p, 1.0)})
+
+    return rows.groupBy("_family", "piece").cogroup(dealt.groupBy("_family", "piece")).applyInPandas(
         solve, "_family string, _p double, p_adjusted double"
     )
 
