@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from lexistat.llm.components import components
 from lexistat.llm.frames import col, settle
 from lexistat.llm.shingles import shingle_sets
+from lexistat.llm.tokens import forget_pieces
 from lexistat.llm.words import U64, batches, mix, ranges
 
 PERCENT = 80
@@ -110,6 +111,7 @@ def frequency_filters(docs: DataFrame, text: str, bits: int) -> tuple[np.ndarray
     frequent, repeat = Filter(bits, FREQUENT_BITS), Filter(bits, REPEAT_BITS)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_pieces()
         for part in batches(parts, "text"):
             hashes, times = np.unique(shingle_sets(part.column("text"))[0], return_counts=True)
             rows = list(by_bucket(hashes >> U64(64 - bits), rest_of(hashes, bits), times.astype(np.uint32)))
@@ -150,6 +152,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, bits: int) -> DataFrame:
     fields = "doc_id bigint, n bigint, mark binary, hashes array<bigint>, frequent int, prefix binary"
 
     def sketch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_pieces()
         frequent_bits, repeat_bits = sent.value
         for part in batches(parts, "text"):
             flat, first = shingle_sets(part.column("text"))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from lexistat.llm.automaton import Automaton
 from lexistat.llm.frames import col, free_name, settle
 from lexistat.llm.jaccard import Filter, REPEAT_BITS, bucket_bits, by_bucket, joined, rest_of
+from lexistat.llm.tokens import forget_pieces
 from lexistat.llm.words import U64, Words, batches, mix, ranges, text_bytes, window_hashes
 
 WINDOW = 13
@@ -174,6 +175,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
     sent = docs.sparkSession.sparkContext.broadcast((twice, many))  # of fixed size, 17 MB
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_pieces()
         for part in batches(parts, "text", BATCH_BYTES):
             words = Words(*text_bytes(part.column("text")))
             hashed = words.hashes()

@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from lexistat.llm.words import IS_SPACE, ranges, text_bytes
 
-CACHE_BYTES = 64_000_000
+CACHE_BYTES = 128_000_000
 ENTRY_BYTES = 180  # of a dictionary entry and its two objects, besides their content
 IS_LETTER, IS_MARK = np.zeros(256, bool), np.zeros(256, bool)
 IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -57,6 +57,11 @@ def worker_encoder(path: str) -> Encoder:
     return kept[path]
 
 
+def forget_pieces() -> None:
+    """Let go of what this worker kept; called where a worker turns to another operator with large arrays."""
+    sys.modules.pop("_kept_by_worker", None)
+
+
 class Encoder:
     """Encodes columns of texts; keeps the ids of pieces seen before, in two generations of bounded bytes.
 

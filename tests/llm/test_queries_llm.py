@@ -14,4 +14,4 @@ def test_query_matches_sql(spark, name):
 
 def test_every_operator_has_a_query():
     names = entry.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)) and "pipeline" in names
