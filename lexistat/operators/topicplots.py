@@ -100,8 +100,8 @@ def heatmap_data(weights: DataFrame, topics: DataFrame | None = None) -> DataFra
 def hierarchy_data(similarities: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """(step, topic_a, topic_b, distance, members): topics merged from the closest pair up.
 
-    Ward's rule on cosine distances. The table holds the pairs of the topics to show, and every
-    step takes one row from it and updates the rows of the merged pair.
+    Ward's rule on cosine distances. The table holds the pairs of the topics to show; every round merges all
+    mutually nearest pairs, so rounds grow with the logarithm of the topics, and steps are numbered by distance.
     """
     spark = similarities.sparkSession
     squared = F.greatest(F.lit(1.0) - F.col("similarity"), F.lit(0.0))
@@ -114,35 +114,52 @@ def hierarchy_data(similarities: DataFrame, sizes: DataFrame | None = None) -> D
     topics, given = similarities.select("topic_a").union(similarities.select("topic_b")).distinct().count(), pairs.count()
     if given < topics * (topics - 1):
         raise ValueError(f"similarities are missing: {given} pairs for {topics} topics")
-    merges: list[tuple[int, int, int, float, int]] = []
-    step = 0
-    while True:
-        nearest = pairs.where("a < b").orderBy("d2", "a", "b").limit(1).collect()
-        if not nearest:
-            break
-        step += 1
-        one = nearest[0]
-        kept, gone, d2 = one["a"], one["b"], one["d2"]
-        members = one["na"] + one["nb"]
-        merges.append((step, int(kept), int(gone), float(d2) ** 0.5, int(members)))
-        other = pairs.where(F.col("a").isin(kept, gone) & ~F.col("b").isin(kept, gone))
-        n = F.col("nb")
-        grown = other.groupBy("b", "nb").agg(
-            F.sum((F.col("na") + n) * F.col("d2")).alias("s")
-        ).select(
-            "b", "nb", ((F.col("s") - n * F.lit(float(d2))) / (n + F.lit(members))).alias("d2")
+
+    def both_ways(half: DataFrame) -> DataFrame:
+        """Each pair from both sides with one distance, however it was rounded."""
+        there = F.struct("a", "b", "d2", "na", "nb")
+        back = F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "d2", F.col("nb").alias("na"), F.col("na").alias("nb"))
+        return cut_lineage(half.where("a < b").select(F.inline(F.array(there, back))).coalesce(4))
+
+    pairs, done = both_ways(pairs), None
+    while not pairs.isEmpty():
+        # Ward's distances are reducible: all mutually nearest pairs can merge at once and give the same tree.
+        nearest = pairs.groupBy("a").agg(
+            F.min(F.struct("d2", F.least("a", "b").alias("kept"), F.greatest("a", "b").alias("gone"))).alias("x"),
+            F.first("na").alias("na"),
         )
-        rest = pairs.where(~F.col("a").isin(kept, gone) & ~F.col("b").isin(kept, gone))
-        out = grown.select(F.lit(kept).alias("a"), "b", "d2", F.lit(members).alias("na"), "nb")
-        back = grown.select(F.col("b").alias("a"), F.lit(kept).alias("b"), "d2",
-                            F.col("nb").alias("na"), F.lit(members).alias("nb"))
-        same = ["cast(a as int) a", "cast(b as int) b", "d2", "na", "nb"]
-        pairs = cut_lineage(
-            rest.selectExpr(*same).unionByName(out.selectExpr(*same)).unionByName(back.selectExpr(*same))
-            .coalesce(4)
+        mutual = cut_lineage(nearest.groupBy("x").agg(
+            F.count(F.lit(1)).alias("both"), F.sum("na").alias("members")
+        ).where("both = 2").select("x.*", "members"))
+        done = mutual if done is None else done.unionByName(mutual)
+        home = mutual.select(
+            F.explode(F.array("kept", "gone")).alias("topic"), F.col("kept").alias("to"), F.col("d2").alias("inner"), "members"
         )
-    return spark.createDataFrame(
-        merges, "step int, topic_a int, topic_b int, distance double, members bigint"
+        placed = pairs
+        for end, n in (("a", "na"), ("b", "nb")):
+            placed = placed.join(home.select(*[F.col(c).alias(f"{c}_{end}") for c in home.columns]),
+                                 F.col(end) == F.col(f"topic_{end}"), "left").select(
+                *placed.columns, F.coalesce(f"to_{end}", end).alias(f"new_{end}"),
+                F.coalesce(f"inner_{end}", F.lit(0.0)).alias(f"inner_{end}"),
+                F.coalesce(f"members_{end}", n).alias(f"n_{end}"),
+            )
+        # One side of every pair grows first, then the other.
+        one = placed.where("new_a <> new_b").groupBy("new_a", "b", "nb", "new_b", "inner_a", "n_a", "inner_b", "n_b").agg(
+            F.sum((F.col("na") + F.col("nb")) * F.col("d2")).alias("s")
+        ).withColumn("d2", (F.col("s") - F.col("nb") * F.col("inner_a")) / (F.col("n_a") + F.col("nb")))
+        two = one.groupBy("new_a", "new_b", "n_a", "n_b", "inner_b").agg(
+            F.sum((F.col("nb") + F.col("n_a")) * F.col("d2")).alias("s"))
+        pairs = both_ways(two.select(
+            F.col("new_a").alias("a"), F.col("new_b").alias("b"),
+            ((F.col("s") - F.col("n_a") * F.col("inner_b")) / (F.col("n_a") + F.col("n_b"))).alias("d2"),
+            F.col("n_a").alias("na"), F.col("n_b").alias("nb"),
+        ))
+    if done is None:
+        return spark.createDataFrame([], "step int, topic_a int, topic_b int, distance double, members bigint")
+    order = Window.partitionBy(F.lit(0)).orderBy("d2", "kept", "gone")  # one row per shown topic
+    return done.select(
+        F.row_number().over(order).alias("step"), F.col("kept").cast("int").alias("topic_a"),
+        F.col("gone").cast("int").alias("topic_b"), F.sqrt("d2").alias("distance"), "members",
     )
 
 
