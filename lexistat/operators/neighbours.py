@@ -1,4 +1,4 @@
-"""Nearest neighbours of every vector, exact or among the cells around the nearest pivots."""
+"""Nearest neighbours of every vector, exact or with a measured recall."""
 
 from __future__ import annotations
 
@@ -10,19 +10,18 @@ from pyspark.sql import functions as F
 from lexistat.functions.sums import matrix
 from lexistat.functions.vectors import as_double, l2_normalize
 from lexistat.operators.cells import (
+    SLACK,
     assign_cells,
     block_pairs,
     distances,
-    nearest_cells,
     pick_pivots,
     reachable_cells,
 )
+from lexistat.operators.descent import approximate_neighbours
 from lexistat.operators.stack import first_rows_of
 
 METRICS = ("cosine", "euclidean", "manhattan")
 METHODS = ("exact", "approximate")
-CELL_PIVOTS = 8192  # pivots of the approximate search at most
-OWN_CELLS = 3  # cells in which the approximate search looks for the neighbours of a vector
 
 
 def distinct_vectors(df: DataFrame, key: str, vector: str, metric: str) -> tuple[DataFrame, DataFrame]:
@@ -38,14 +37,14 @@ def distinct_vectors(df: DataFrame, key: str, vector: str, metric: str) -> tuple
 
 def knn_graph(
     df: DataFrame, k: int, key: str, vector: str = "embedding", metric: str = "cosine",
-    seed: int = 42, block_rows: int = 4096, method: str = "exact", probes: int = 16,
+    seed: int = 42, block_rows: int = 4096, method: str = "exact", recall: float = 0.95,
 ) -> DataFrame:
     """(key, neighbour, place, distance): the k nearest other rows, ties by key.
 
     The exact search compares a vector with all that the triangle inequality does not rule out, which in many
-    dimensions is nearly all: it is meant for small tables. The approximate one looks only at vectors that have
-    one of the vector's three nearest pivots among their `probes` nearest ones, so its work is 3 * n * probes * n
-    / pivots; a vector may get fewer than k neighbours, and more probes find more of the exact ones.
+    dimensions is nearly all: it is meant for small tables. The approximate one refines lists of neighbours until the
+    share `recall` of the exact ones of a sample is found; its work grows in proportion to the rows, and every vector
+    still gets k neighbours where the table has them.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of: {', '.join(METHODS)}")
@@ -60,7 +59,10 @@ def knn_graph(
             [], f"key {df.schema[key].dataType.simpleString()}, "
             f"neighbour {df.schema[key].dataType.simpleString()}, place int, distance double"
         )
-    near = _point_neighbours(points, n, k, metric, seed, block_rows, probes if method == "approximate" else None)
+    if method == "approximate":
+        near, _ = approximate_neighbours(points, n, k, metric, seed, recall)
+    else:
+        near = _exact_neighbours(points, n, k, metric, seed, block_rows)
     # Candidates of a point: its own first copies, and the first copies of its neighbours.
     firsts = first_rows_of(members, ["id"], [F.col("member")], k + 1).select(
         F.col("id").alias("other"), F.col("member").alias("neighbour")
@@ -83,18 +85,11 @@ def knn_graph(
     )
 
 
-def _point_neighbours(
-    points: DataFrame, n: int, k: int, metric: str, seed: int, block_rows: int, probes: int | None
-) -> DataFrame:
-    """(id, other, distance): at least the k nearest other points of each point, of those in its cell or of all."""
-    if probes is None:
-        pivots = pick_pivots(points, n, seed)
-        placed = assign_cells(points, pivots, metric).persist()
-        partners = _possible_partners(points, placed, pivots, k, metric)
-    else:
-        pivots = pick_pivots(points, n, seed, CELL_PIVOTS)
-        placed = nearest_cells(points, pivots, OWN_CELLS, metric, ["id", "vector"])
-        partners = nearest_cells(points, pivots, probes, metric, ["id", "vector"])
+def _exact_neighbours(points: DataFrame, n: int, k: int, metric: str, seed: int, block_rows: int) -> DataFrame:
+    """(id, other, distance): at least the k nearest other points of each point."""
+    pivots = pick_pivots(points, n, seed)
+    placed = assign_cells(points, pivots, metric).persist()
+    partners = _possible_partners(points, placed, pivots, k, metric)
     return _nearest_in_cells(points, placed, partners, k, metric, block_rows)
 
 
@@ -143,3 +138,32 @@ def _nearest_in_cells(
         found.groupBy("id", "other").agg(F.min("distance").alias("distance")).withColumn("r", F.row_number().over(window)).where(F.col("r") <= k)
         .select("id", "other", "distance")
     )
+
+
+def neighbour_recall(
+    found: DataFrame, df: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", metric: str = "cosine"
+) -> DataFrame:
+    """(key, found, hits): for each of `queries` (key), its rows in `found` (a result of knn_graph), and how many are
+    no farther than its k-th nearest row of `df`, found by comparing it with all rows.
+
+    The queries' vectors meet all rows in blocks of bounded size, so a task holds one block of each.
+    """
+    value = l2_normalize(F.col(vector)) if metric == "cosine" else as_double(F.col(vector))
+    rows = df.select(F.col(key).alias("id"), value.alias("vector"), F.lit(0).alias("cell"))
+    wanted = df.join(queries.select(key), key, "left_semi")
+    asked = wanted.select(F.col(key).alias("id"), value.alias("vector"), F.lit(0).alias("cell"))
+
+    def nearest(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        gaps = distances(matrix(one["vector"]), matrix(two["vector"]), metric)
+        gaps[one["id"].to_numpy()[:, None] == two["id"].to_numpy()[None, :]] = np.inf
+        best = np.partition(gaps, min(k, gaps.shape[1]) - 1, axis=1)[:, :k]
+        at, col = np.nonzero(np.isfinite(best))
+        return pd.DataFrame({"key": one["id"].to_numpy()[at], "edge": best[at, col]})
+
+    kind = df.schema[key].dataType.simpleString()
+    pairs = block_pairs(asked, rows, nearest, f"key {kind}, edge double")
+    edge = F.max("edge") * F.max("edge") / 2 if metric == "cosine" else F.max("edge")
+    edges = first_rows_of(pairs, ["key"], [F.col("edge")], k).groupBy("key").agg(edge.alias("edge"))
+    return edges.join(found, "key", "left").groupBy("key").agg(
+        F.count("neighbour").alias("found"), F.count_if(F.col("distance") <= F.col("edge") + SLACK).alias("hits")
+    )

@@ -415,6 +415,17 @@ def knn_cosine_approximate(spark, sf):
     return rounded_doubles(neighbours.knn_graph(vectors, 5, "vec_id", "embedding", "cosine", method="approximate"))
 
 
+@query
+def knn_measured_recall(spark, sf):
+    """Per vector whose id is divisible by 100: its neighbours, and whether nine in ten are right over all of them."""
+    vectors = table(spark, sf, "embeddings")
+    found = neighbours.knn_graph(vectors, 5, "vec_id", "embedding", "cosine", method="approximate")
+    asked = vectors.where(F.pmod("vec_id", F.lit(100)) == 0)
+    hits = neighbours.neighbour_recall(found, vectors, asked, 5, "vec_id")
+    share = hits.agg((F.sum("hits") / F.sum("found") >= 0.9).alias("enough"))
+    return hits.select("key", "found").join(F.broadcast(share))
+
+
 
 # ---- topics ----------------------------------------------------------------------------------
 

@@ -307,6 +307,9 @@ WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 pairs AS (SELECT a.vec_id AS key, b.vec_id AS neighbour, {_gap} AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, neighbour) AS place FROM pairs)
 SELECT key, neighbour, place::INT AS place, round(distance, 6) AS distance FROM ranked WHERE place <= 5"""
+CHECKS["knn_measured_recall"] = """
+SELECT vec_id AS key, least(5, (SELECT count(*) FROM embeddings) - 1)::BIGINT AS found, true AS enough
+FROM embeddings WHERE vec_id % 100 = 0"""
 
 # ---- topics ----------------------------------------------------------------------------------
 
