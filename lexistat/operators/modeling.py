@@ -10,6 +10,8 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -266,6 +268,20 @@ def _run_forest(data: DataFrame, grid: list, task: str, k: int, inner_k: int, pe
     return TargetRun(scores, held.where("perm = 0").select("key", "fold", "y", "p"))
 
 
+def _around_means(x: DataFrame) -> DataFrame:
+    """The features less their means over all rows, so that sums of squares keep their digits.
+
+    No result changes: every model has a free intercept, and each fold still takes its own training means off.
+    """
+    mean = x.where(F.col("features").isNotNull()).agg(
+        vector_to_array(Summarizer.mean(array_to_vector("features"))).alias("mean")
+    ).first()["mean"]
+    if not mean:
+        return x
+    middle = F.lit(mean)
+    return x.withColumn("features", F.zip_with("features", middle, lambda v, m: v - m))
+
+
 def cross_validate(
     features: DataFrame, targets: DataFrame, key: str, names: Sequence[str],
     options: ModelOptions = ModelOptions(), groups: DataFrame | None = None, group: str | None = None,
@@ -278,6 +294,7 @@ def cross_validate(
     spark = features.sparkSession
     x = features.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("features"))
     shaped = x.agg(F.max(F.size("features"))).first()[0]
+    x = _around_means(x)
     perms = int(options.n_permutations) if options.run_permutation else 0
     detected = {r["target"]: r["task"] for r in detect_task(targets, names, options.max_unique_for_class).collect()}
     rows, scored, held, skipped, kinds = [], [], [], [], {}

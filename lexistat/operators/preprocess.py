@@ -16,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROUNDING = 1e-13  # a variance below this share of the sums it comes from is rounding
+
 
 @dataclass(frozen=True)
 class Prep:
@@ -34,29 +36,42 @@ def long_features(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
 
 
 def train_statistics(long: DataFrame, y: str | None = None) -> DataFrame:
-    """(fold, pos[, y], n, sx, sxx): sums over the rows outside each fold."""
+    """(fold, pos[, y], n, middle, sx, sxx): sums of x - middle and of its square over the rows outside each fold.
+
+    Spark's mean and variance are states that merge without cancellation; the sums are taken around the mean of the
+    whole feature (`middle`), so a feature far from zero loses no digits.
+    """
     extra = [y] if y else []
-    sums = long.groupBy("fold", "pos", *extra).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx")
+    parts = long.groupBy("fold", "pos", *extra).agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("spread")
     )
     # One row per fold, position and class from here on.
     whole = Window.partitionBy("pos", *extra)
-    folds = sums.select("fold").distinct()
-    cells = folds.join(sums.select("pos", *extra).distinct())
-    filled = cells.join(sums, ["fold", "pos", *extra], "left")
-    outside = {
-        c: F.sum(c).over(whole) - F.coalesce(c, F.lit(0)) for c in ("n", "sx", "sxx")
-    }
-    return filled.select("fold", "pos", *extra, *[v.alias(c) for c, v in outside.items()])
+    middle = F.sum(F.col("n") * F.col("mean")).over(Window.partitionBy("pos")) / F.sum("n").over(Window.partitionBy("pos"))
+    off = F.col("mean") - F.col("middle")
+    sums = parts.withColumn("middle", middle).select(
+        "fold", "pos", *extra, "n", "middle", (F.col("n") * off).alias("sx"),
+        (F.col("n") * (F.col("spread") + off * off)).alias("sxx"),
+    )
+    cells = sums.select("fold").distinct().join(sums.select("pos", *extra, "middle").distinct())
+    filled = cells.join(sums.drop("middle"), ["fold", "pos", *extra], "left")
+    outside = {c: F.sum(c).over(whole) - F.coalesce(c, F.lit(0)) for c in ("n", "sx", "sxx")}
+    return filled.select("fold", "pos", *extra, "middle", *[v.alias(c) for c, v in outside.items()])
+
+
+def _mean_and_variance() -> tuple[Column, Column]:
+    """The mean and population variance of a row of `train_statistics`; what rounding leaves of a constant is 0."""
+    off, second = F.col("sx") / F.col("n"), F.col("sxx") / F.col("n")
+    mean, variance = F.col("middle") + off, second - off * off
+    least = F.greatest(ROUNDING * second, ROUNDING * mean * ROUNDING * mean)
+    return mean, F.when(variance > least, variance).otherwise(0.0)
 
 
 def scaler_statistics(long: DataFrame) -> DataFrame:
     """(fold, pos, mean, sd): training mean and population deviation; a constant feature gets 1."""
-    train = train_statistics(long)
-    mean = F.col("sx") / F.col("n")
-    variance = F.greatest(F.col("sxx") / F.col("n") - mean * mean, F.lit(0.0))
-    return train.select(
-        "fold", "pos", mean.alias("mean"), F.when(variance > 1e-18, F.sqrt(variance)).otherwise(1.0).alias("sd")
+    mean, variance = _mean_and_variance()
+    return train_statistics(long).select(
+        "fold", "pos", mean.alias("mean"), F.when(variance > 0, F.sqrt(variance)).otherwise(1.0).alias("sd")
     )
 
 
@@ -70,10 +85,8 @@ def standardize(long: DataFrame) -> DataFrame:
 
 def variance_threshold(long: DataFrame, threshold: float = 0.0) -> DataFrame:
     """(fold, pos, variance) of the features whose training population variance is above it."""
-    train = train_statistics(long)
-    mean = F.col("sx") / F.col("n")
-    variance = F.col("sxx") / F.col("n") - mean * mean
-    return train.select("fold", "pos", variance.alias("variance")).where(F.col("variance") > threshold)
+    _, variance = _mean_and_variance()
+    return train_statistics(long).select("fold", "pos", variance.alias("variance")).where(F.col("variance") > threshold)
 
 
 def f_class_scores(long: DataFrame, y: str) -> DataFrame:
@@ -97,9 +110,19 @@ def f_class_scores(long: DataFrame, y: str) -> DataFrame:
 def f_regression_scores(long: DataFrame, y: str) -> DataFrame:
     """(fold, pos, f) from the squared correlation of each feature with the target."""
     x, t = F.col("x"), F.col(y).cast("double")
-    sums = long.groupBy("fold", "pos").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"),
-        F.sum(t).alias("sy"), F.sum(t * t).alias("syy"), F.sum(x * t).alias("sxy"),
+    parts = long.groupBy("fold", "pos").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(t).alias("my"), F.var_pop(x).alias("vx"),
+        F.var_pop(t).alias("vy"), F.covar_pop(x, t).alias("vxy"),
+    )
+    # Sums around the means of the whole feature and target, as in train_statistics.
+    total = Window.partitionBy("pos")
+    mid = {c: F.sum(F.col("n") * F.col(c)).over(total) / F.sum("n").over(total) for c in ("mx", "my")}
+    off = parts.withColumns({"ox": F.col("mx") - mid["mx"], "oy": F.col("my") - mid["my"]})
+    count, ox, oy = F.col("n"), F.col("ox"), F.col("oy")
+    sums = off.select(
+        "fold", "pos", "n", (count * ox).alias("sx"), (count * oy).alias("sy"),
+        (count * (F.col("vx") + ox * ox)).alias("sxx"), (count * (F.col("vy") + oy * oy)).alias("syy"),
+        (count * (F.col("vxy") + ox * oy)).alias("sxy"),
     )
     whole = Window.partitionBy("pos")
     out = sums.select("fold", "pos", *[
@@ -166,7 +189,7 @@ def fit_map(sums: TrainSums, prep: Prep) -> tuple[np.ndarray, np.ndarray]:
     mean = sums.sx / sums.n
     diagonal = sums.sxx if sums.sxx.ndim == 1 else np.diag(sums.sxx)
     variance = np.maximum(diagonal / sums.n - mean * mean, 0.0)
-    sd = np.where(variance > 1e-18, np.sqrt(variance), 1.0) if prep.scale else np.ones(d)
+    sd = np.where(variance > ROUNDING * diagonal / sums.n, np.sqrt(variance), 1.0) if prep.scale else np.ones(d)
     a = np.diag(1.0 / sd)
     if prep.n_components is not None:
         spread = a @ (sums.sxx - sums.n * np.outer(mean, mean)) @ a
