@@ -2,15 +2,20 @@
 
 A record is a JSON object. Its nested field paths (list items as []), cut down to the names that any layout
 knows, are sorted and hashed; the hash selects a declarative mapping that turns prompt, instruction or message
-layouts into canonical turns (role, text). A template then marks the turns, escapes control strings inside
+layouts into canonical turns (role, text). A layout may name further paths that a record can have or not, texts of a
+list may be strings or lists of parts, and names of other layouts beside a whole layout change nothing: of the
+layouts that a record meets, the first in the table reads it. A template then marks the turns, escapes control strings inside
 roles and texts so that they can be read back, and gives the spans of the assistant's texts as loss mask.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import json
 import re
+from collections.abc import Iterable
 from typing import Any
 
 import pyarrow as pa
@@ -19,25 +24,31 @@ from pyspark.sql import functions as F
 
 from lexistat.llm.frames import col, free_name
 
-# A layout lists its paths and where turns come from: ("each", list, role field, text field) or (role, field).
+# What some sources call the roles.
+ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+# A layout lists its paths, those it may have too, and where turns come from: ("each", list, role field, text field)
+# or (role, field, more fields of the same text). The first layout that a record meets reads it.
 LAYOUTS: dict[str, dict[str, Any]] = {
-    "messages": {"paths": ["messages[].role", "messages[].content"], "turns": [("each", "messages", "role", "content")]},
-    "turns": {"paths": ["turns[].role", "turns[].text"], "turns": [("each", "turns", "role", "text")]},
-    "from_value": {"paths": ["conversations[].from", "conversations[].value"],
-                   "turns": [("each", "conversations", "from", "value")]},
-    "instruction": {"paths": ["instruction", "output"], "turns": [("user", "instruction"), ("assistant", "output")]},
-    "instruction_input": {"paths": ["instruction", "input", "output"],
-                          "turns": [("user", "instruction", "input"), ("assistant", "output")]},
-    "prompt_completion": {"paths": ["prompt", "completion"], "turns": [("user", "prompt"), ("assistant", "completion")]},
-    "prompt_response": {"paths": ["prompt", "response"], "turns": [("user", "prompt"), ("assistant", "response")]},
+    "messages": {"paths": ["messages[].role", "messages[].content"], "also": ["system"],
+                 "turns": [("system", "system"), ("each", "messages", "role", "content")]},
+    "turns": {"paths": ["turns[].role", "turns[].text"], "also": ["system"],
+              "turns": [("system", "system"), ("each", "turns", "role", "text")]},
+    "from_value": {"paths": ["conversations[].from", "conversations[].value"], "also": ["system"], "roles": ROLES,
+                   "turns": [("system", "system"), ("each", "conversations", "from", "value")]},
+    "instruction_input": {"paths": ["instruction", "input", "output"], "also": ["system"],
+                          "turns": [("system", "system"), ("user", "instruction", "input"), ("assistant", "output")]},
+    "instruction": {"paths": ["instruction", "output"], "also": ["system"],
+                    "turns": [("system", "system"), ("user", "instruction"), ("assistant", "output")]},
+    "prompt_completion": {"paths": ["prompt", "completion"], "also": ["system"],
+                          "turns": [("system", "system"), ("user", "prompt"), ("assistant", "completion")]},
     "system_prompt_response": {"paths": ["system", "prompt", "response"],
                                "turns": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
-    "question_answer": {"paths": ["question", "answer"], "turns": [("user", "question"), ("assistant", "answer")]},
-    "nested_data": {"paths": ["data.prompt", "data.response"],
-                    "turns": [("user", "data.prompt"), ("assistant", "data.response")]},
+    "prompt_response": {"paths": ["prompt", "response"], "turns": [("user", "prompt"), ("assistant", "response")]},
+    "question_answer": {"paths": ["question", "answer"], "also": ["system"],
+                        "turns": [("system", "system"), ("user", "question"), ("assistant", "answer")]},
+    "nested_data": {"paths": ["data.prompt", "data.response"], "also": ["data.system"],
+                    "turns": [("system", "data.system"), ("user", "data.prompt"), ("assistant", "data.response")]},
 }
-ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-KNOWN_PATHS = {p for layout in LAYOUTS.values() for p in layout["paths"]}
 # Control strings of common chat templates; the first two are those of the template below.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
@@ -55,11 +66,34 @@ def field_paths(value: Any, path: str = "") -> set[str]:
     return {path}
 
 
-def fingerprint(paths: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(paths & KNOWN_PATHS)).encode()).hexdigest()[:16]
+def fingerprint(paths: Iterable[str]) -> str:
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
+
+
+def subsets(paths: Iterable[str]) -> list[set[str]]:
+    paths = list(paths)
+    return [set(c) for n in range(len(paths) + 1) for c in itertools.combinations(paths, n)]
+
 
+def met_paths(layout: dict[str, Any]) -> list[set[str]]:
+    """Every set of paths that the layout reads."""
+    forms = [set(layout["paths"])]
+    for kind, *rest in layout["turns"]:
+        if kind == "each":  # texts may be strings, lists of strings or lists of objects with a text; or no item at all
+            role, text = (f"{rest[0]}[].{name}" for name in rest[1:])
+            forms = [{role} | some for some in subsets([text, f"{text}[]", f"{text}[].text"]) if some] + [{rest[0]}]
+    return [form | some for form in forms for some in subsets(layout.get("also", []))]
 
-BY_FINGERPRINT = {fingerprint(set(layout["paths"])): name for name, layout in LAYOUTS.items()}
+
+OWN_PATHS = {name: set().union(*met_paths(layout)) for name, layout in LAYOUTS.items()}
+KNOWN_PATHS = set().union(*OWN_PATHS.values())
+MET = {name: {fingerprint(paths) for paths in met_paths(layout)} for name, layout in LAYOUTS.items()}
+
+
+@functools.lru_cache(4096)
+def layout_of(known: frozenset[str]) -> str | None:
+    """The first layout with the fingerprint of its own paths in a record."""
+    return next((name for name, own in OWN_PATHS.items() if fingerprint(known & own) in MET[name]), None)
 
 
 def field(record: Any, path: str) -> Any:
@@ -73,23 +107,32 @@ def plain(value: Any) -> str:
     return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
+def said(value: Any) -> str:
+    """The text of a turn: that of its parts, one in a line, if it is a list; parts without text say nothing."""
+    if not isinstance(value, list):
+        return plain(value)
+    texts = [part.get("text") if isinstance(part, dict) else part for part in value]
+    return "\n".join(plain(t) for t in texts if t is not None)
+
+
 def canonical(raw: str | None) -> dict[str, Any] | None:
     """The layout and turns of a JSON record; None for an unknown layout or for text that is no JSON object."""
     try:
         record = json.loads(raw or "")
     except ValueError:
         return None
-    name = BY_FINGERPRINT.get(fingerprint(field_paths(record))) if isinstance(record, dict) else None
+    paths = frozenset(field_paths(record) & KNOWN_PATHS) if isinstance(record, dict) else frozenset()
+    name = layout_of(paths)
     if name is None:
         return None
-    turns = []
+    turns, roles = [], LAYOUTS[name].get("roles", {})
     for first, *rest in LAYOUTS[name]["turns"]:
         if first == "each":
             for item in field(record, rest[0]):
                 item = item if isinstance(item, dict) else {}
                 role = plain(item.get(rest[1]))
-                turns.append({"role": ROLES.get(role, role), "text": plain(item.get(rest[2]))})
-        else:
+                turns.append({"role": roles.get(role, role), "text": said(item.get(rest[2]))})
+        elif rest[0] in paths:
             parts = [plain(field(record, path)) for path in rest]
             turns.append({"role": first, "text": "\n\n".join([parts[0], *filter(None, parts[1:])])})
     return {"layout": name, "turns": turns}
@@ -162,8 +205,9 @@ def read_back(formatted: pa.Array) -> pa.Array:
 def format_records(records: DataFrame, record: str = "record") -> tuple[DataFrame, str]:
     """The rows with one more column, a struct of layout, formatted text and loss spans; and that column's name.
 
-    The struct is null for a null record, text that is no JSON object, or an unknown layout; a record without
-    turns gives an empty text. Fields that no layout knows are ignored, so extra fields never clash.
+    The struct is null for a null record, text that is no JSON object, or an unknown layout (`layout_counts` tells how
+    many there are); a record with an empty list of turns gives an empty text. Fields that no layout knows are ignored,
+    so extra fields never clash.
     """
     turns, out = free_name(records, "_turns"), free_name(records, "chat")
     made = records.withColumn(turns, F.arrow_udf(canonical_turns, TURNS)(col(record)))
@@ -176,12 +220,27 @@ def format_records(records: DataFrame, record: str = "record") -> tuple[DataFram
 def conversation_records(rows: DataFrame) -> DataFrame:
     """(conv_id, record) from rows (conv_id, turn, role, text): a conversation as one JSON object with its turns
     in order of turn, then role, then text. Null turns come first, a null role or text is empty. A formatted
-    conversation is one value, so its rows have to meet in one place whatever their number."""
+    conversation is one value, so its rows have to meet in one place whatever their number.
+
+    A third of the conversations each (by a hash of conv_id) are written as turns, as messages, and as messages with
+    lists of parts, so that fingerprints tell layouts apart."""
     part = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(
-        F.transform(F.sort_array(F.collect_list(part)), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-        .alias("turns")
-    )).alias("record"))
+    said = F.sort_array(F.collect_list(part))
+    turns = F.transform(said, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    messages = F.transform(said, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))
+    parts = F.transform(said, lambda t: F.struct(t["role"].alias("role"), F.array(
+        F.struct(F.lit("text").alias("type"), t["text"].alias("text"))).alias("content")))
+    kind = F.pmod(F.hash("conv_id"), F.lit(3))
+    return rows.groupBy("conv_id").agg(
+        F.when(kind == 0, F.to_json(F.struct(turns.alias("turns"))))
+        .when(kind == 1, F.to_json(F.struct(messages.alias("messages"))))
+        .otherwise(F.to_json(F.struct(parts.alias("messages")))).alias("record")
+    )
+
+
+def layout_counts(made: DataFrame, chat: str) -> DataFrame:
+    """layout, n: the records read by each layout; a null layout counts those that none could read."""
+    return made.groupBy(col(chat)["layout"].alias("layout")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def conversation_digests(rows: DataFrame) -> DataFrame:

@@ -25,13 +25,48 @@ def test_layouts_give_the_same_turns(record):
 
 
 def test_fingerprints_are_distinct_and_unknown_layouts_are_null():
-    assert len(chat.BY_FINGERPRINT) == len(chat.LAYOUTS)
-    for raw in (None, "", "[1]", "3", "{", '{"a": 1}', '{"messages": []}'):
+    met = [print_ for prints in chat.MET.values() for print_ in prints]
+    assert len(set(met)) == len(met)
+    for raw in (None, "", "[1]", "3", "{", '{"a": 1}', '{"messages": 1}'):
         assert chat.canonical(raw) is None
     assert chat.canonical('{"prompt": null, "response": 3}')["turns"] == [
         {"role": "user", "text": ""}, {"role": "assistant", "text": "3"}]
 
 
+@pytest.mark.parametrize("record, turns", [
+    ({"messages": []}, []),
+    ({"turns": []}, []),
+    ({"system": "s", "messages": []}, [("system", "s")]),
+    ({"system": "s", "messages": [{"role": "user", "content": "a"}]}, [("system", "s"), ("user", "a")]),
+    ({"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "image", "url": "x"}, "b"]},
+                   {"role": "assistant", "content": "c"}, {"role": "human", "content": None},
+                   {"role": "user", "content": []}]},
+     [("user", "a\nb"), ("assistant", "c"), ("human", ""), ("user", "")]),
+    ({"system": "s", "instruction": "i", "output": "o"}, [("system", "s"), ("user", "i"), ("assistant", "o")]),
+    ({"system": "s", "instruction": "i", "input": "j", "output": "o"},
+     [("system", "s"), ("user", "i\n\nj"), ("assistant", "o")]),
+    ({"prompt": "a", "messages": [{"role": "user", "content": "b"}]}, [("user", "b")]),
+])
+def test_optional_paths_and_lists_of_parts(record, turns):
+    assert [(t["role"], t["text"]) for t in chat.canonical(json.dumps(record))["turns"]] == turns
+
+
+def test_records_without_a_layout_are_counted(spark):
+    rows = spark.createDataFrame([(r,) for r in ('{"messages": []}', '{"turns": []}', "no", None, '{"x": 1}')], "record string")
+    made, name = chat.format_records(rows)
+    assert dict(map(tuple, chat.layout_counts(made, name).collect())) == {"messages": 1, "turns": 1, None: 3}
+    assert sorted(r[0] for r in made.where(f"{name} is not null").select(f"{name}.formatted").collect()) == ["", ""]
+
+
+def test_conversations_come_in_several_layouts(spark):
+    rows = spark.createDataFrame([(c, t, r, "x\ny") for c in range(30) for t, r in ((0, "user"), (1, "human"))],
+                                 "conv_id bigint, turn int, role string, text string")
+    records = [json.loads(r.record) for r in chat.conversation_records(rows).collect()]
+    assert len({tuple(sorted(chat.field_paths(r))) for r in records}) == 3
+    assert {json.dumps(chat.canonical(json.dumps(r))["turns"]) for r in records} == {
+        json.dumps([{"role": "user", "text": "x\ny"}, {"role": "human", "text": "x\ny"}])}
+
+
 pieces = st.lists(st.sampled_from([*chat.CONTROLS, "\\", "\n", "<", "s>", "/", "é", "x", " ", "</s>\n<s>"]) | st.text(max_size=3),
                   max_size=8).map("".join)
 
