@@ -58,12 +58,12 @@ BACK_TYPE = pa.struct([("n_turns", pa.int64()), ("turns_sha256", pa.string()), (
 
 
 def field_paths(value: Any, path: str = "") -> set[str]:
-    """The paths of all leaves; an empty list or object is a leaf itself."""
+    """The paths of all leaves; an empty object is a leaf itself, and an empty list one marked [none]."""
     if isinstance(value, dict) and value:
         return set().union(*(field_paths(v, f"{path}.{k}" if path else k) for k, v in value.items()))
     if isinstance(value, list) and value:
         return set().union(*(field_paths(v, f"{path}[]") for v in value))
-    return {path}
+    return {f"{path}[none]" if value == [] else path}
 
 
 def fingerprint(paths: Iterable[str]) -> str:
@@ -81,7 +81,8 @@ def met_paths(layout: dict[str, Any]) -> list[set[str]]:
     for kind, *rest in layout["turns"]:
         if kind == "each":  # texts may be strings, lists of strings or lists of objects with a text; or no item at all
             role, text = (f"{rest[0]}[].{name}" for name in rest[1:])
-            forms = [{role} | some for some in subsets([text, f"{text}[]", f"{text}[].text"]) if some] + [{rest[0]}]
+            forms = [{role} | some for some in subsets([text, f"{text}[]", f"{text}[].text", f"{text}[none]"]) if some]
+            forms.append({f"{rest[0]}[none]"})
     return [form | some for form in forms for some in subsets(layout.get("also", []))]
 
 

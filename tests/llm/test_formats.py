@@ -27,7 +27,7 @@ def test_layouts_give_the_same_turns(record):
 def test_fingerprints_are_distinct_and_unknown_layouts_are_null():
     met = [print_ for prints in chat.MET.values() for print_ in prints]
     assert len(set(met)) == len(met)
-    for raw in (None, "", "[1]", "3", "{", '{"a": 1}', '{"messages": 1}'):
+    for raw in (None, "", "[1]", "3", "{", '{"a": 1}', '{"messages": 1}', '{"messages": [3]}', '{"turns": "x"}', '{"messages": [{}]}'):
         assert chat.canonical(raw) is None
     assert chat.canonical('{"prompt": null, "response": 3}')["turns"] == [
         {"role": "user", "text": ""}, {"role": "assistant", "text": "3"}]
