@@ -25,7 +25,7 @@ from lexistat.llm.frames import col, free_name
 from lexistat.llm.words import U64, Words, mix, ranges, text_bytes, window_hashes
 
 EDIT_PERCENT = 20
-MIN_WORDS = 5  # shorter items occur by chance; they are left out
+CHANCE_WORDS = 5  # shorter items occur by chance, so that they alone remove no document
 GRAM = 3
 WALKS = 4
 TABLES = 10  # for each walk
@@ -157,12 +157,12 @@ def best_match(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 class Items:
     """The items of one block: word hashes, their three-word groups, and the tables for each length."""
 
-    def __init__(self, ids: list[int], texts: list[str], percent: int):
+    def __init__(self, ids: list[int], texts: list[str], percent: int, least_words: int = 1):
         words = Words(*text_bytes(pa.array(texts, pa.string()), True))
         hashed = words.hashes()
         self.percent, self.ids, self.words = percent, [], []
         for i, a, b in zip(ids, words.first, words.first[1:]):
-            if b - a >= MIN_WORDS:
+            if b - a >= max(1, least_words):
                 self.ids.append(i)
                 self.words.append(hashed[a:b])
         by_length = defaultdict(list)
@@ -259,14 +259,14 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK
     ]
 
 
-def leak_column(text: Column, items: list[tuple[int, str]], spark, percent: int = EDIT_PERCENT) -> Column:
+def leak_column(text: Column, items: list[tuple[int, str]], spark, percent: int = EDIT_PERCENT, least_words: int = 1) -> Column:
     """The leaks of a block of items in each text, as an array of (item_id, distance, first_word, n_words)."""
     sent = spark.sparkContext.broadcast(items)
 
     @F.arrow_udf(HIT)
     def find(texts: pa.Array) -> pa.Array:
         if "items" not in ready:
-            ready["items"] = Items([i for i, _ in sent.value], [t for _, t in sent.value], percent)
+            ready["items"] = Items([i for i, _ in sent.value], [t for _, t in sent.value], percent, least_words)
         out, at, sizes = [], 0, texts_sizes(texts)
         while at < len(texts):  # bounded parts of a large batch
             stop, room = at, BATCH_BYTES
@@ -289,23 +289,28 @@ def texts_sizes(texts: pa.Array) -> list[int]:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    percent: int = EDIT_PERCENT,
+    percent: int = EDIT_PERCENT, least_words: int = 1,
 ) -> tuple[DataFrame, str]:
     """The rows of `docs` with one more column, the array of leaks, and that column's name.
 
     A passage leaks an item of n words if its word edit distance is at most percent * n / 100, rounded down.
-    Items that are null, without an id or of fewer than five words leak nowhere; null, empty and short texts
-    leak nothing. Repeated rows each get the same leaks. Empty tables give no rows or empty arrays.
+    Items so short that this allows no edit leak where their words stand unchanged. Items that are null, without an
+    id, without words or of fewer than `least_words` words leak nowhere; null and empty texts leak nothing. Repeated rows each get the same leaks. Empty tables give no rows or empty arrays.
     """
     blocks = item_blocks(benchmark, item_id, item_text)
-    found = [leak_column(col(text), items, docs.sparkSession, percent) for items in blocks]
+    found = [leak_column(col(text), items, docs.sparkSession, percent, least_words) for items in blocks]
     name = free_name(docs, "leaks")
     return docs.withColumn(name, found[0] if len(found) == 1 else F.concat(*found)), name
 
 
-def remove_leaking(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of `docs` that leak no item."""
-    found, leaks = find_leaks(docs, benchmark, text)
+def remove_leaking(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", least_words: int = CHANCE_WORDS
+) -> DataFrame:
+    """The rows of `docs` that leak no item of `least_words` words or more.
+
+    Every document may hold an item of one to four words by chance; with `least_words` 1 these remove documents too.
+    """
+    found, leaks = find_leaks(docs, benchmark, text, least_words=least_words)
     return found.where(F.size(col(leaks)) == 0).select(*[col(c) for c in docs.columns])
 
 
