@@ -52,8 +52,8 @@ LAYOUTS: dict[str, dict[str, Any]] = {
 # Control strings of common chat templates; the first two are those of the template below.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 CONTROL = re.compile("|".join(map(re.escape, CONTROLS)))
-TURNS_TYPE = pa.struct([("layout", pa.string()), ("turns", pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())])))])
-FORMAT_TYPE = pa.struct([("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+CHAT_TYPE = pa.struct([("layout", pa.string()), ("formatted", pa.string()),
+                       ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 BACK_TYPE = pa.struct([("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string())])
 
 
@@ -186,21 +186,22 @@ def digest(formatted: str | None, loss: list[dict[str, int]] | None) -> dict[str
     }
 
 
-TURNS = "struct<layout string, turns array<struct<role string, text string>>>"
-FORMAT = "struct<formatted string, loss array<struct<start bigint, end bigint>>>"
+CHAT = "struct<layout string, formatted string, loss array<struct<start bigint, end bigint>>>"
 BACK = "struct<n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string>"
 
 
-def canonical_turns(records: pa.Array) -> pa.Array:
-    return pa.array([canonical(r) for r in records.to_pylist()], TURNS_TYPE)
+def formatted_record(raw: str | None) -> dict[str, Any] | None:
+    found = canonical(raw)
+    return None if found is None else {"layout": found["layout"], **template(found["turns"])}
 
 
-def formatted_turns(turns: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else template(t) for t in turns.to_pylist()], FORMAT_TYPE)
+def formatted_records(records: pa.Array) -> pa.Array:
+    return pa.array((formatted_record(r.as_py()) for r in records), CHAT_TYPE, size=len(records))
 
 
 def read_back(formatted: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else digest(x["formatted"], x["loss"]) for x in formatted.to_pylist()], BACK_TYPE)
+    rows = (x.as_py() for x in formatted)  # one at a time: texts may be long
+    return pa.array((None if x is None else digest(x["formatted"], x["loss"]) for x in rows), BACK_TYPE, size=len(formatted))
 
 
 def format_records(records: DataFrame, record: str = "record") -> tuple[DataFrame, str]:
@@ -210,12 +211,8 @@ def format_records(records: DataFrame, record: str = "record") -> tuple[DataFram
     many there are); a record with an empty list of turns gives an empty text. Fields that no layout knows are ignored,
     so extra fields never clash.
     """
-    turns, out = free_name(records, "_turns"), free_name(records, "chat")
-    made = records.withColumn(turns, F.arrow_udf(canonical_turns, TURNS)(col(record)))
-    made = made.withColumn(out, F.arrow_udf(formatted_turns, FORMAT)(col(turns)["turns"]))
-    return made.withColumn(out, F.when(col(turns).isNotNull(), F.struct(
-        col(turns)["layout"].alias("layout"), col(out)["formatted"].alias("formatted"), col(out)["loss"].alias("loss")
-    ))).drop(turns), out
+    out = free_name(records, "chat")
+    return records.withColumn(out, F.arrow_udf(formatted_records, CHAT)(col(record))), out
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
