@@ -17,6 +17,7 @@ from lexistat.functions.text import VISIBLE_PATTERN, one_line, shorten, strip_ac
 from lexistat.functions.vectors import dot, l2_norm
 from lexistat.operators.density import density_cluster, renumber_topics
 from lexistat.operators.embed import require_dimension
+from lexistat.operators.grams import batch_gram_counts
 from lexistat.operators.project import cluster_reduce
 from lexistat.operators.stack import first_rows_of
 
@@ -25,6 +26,7 @@ NOISE_LABEL = "Outlier / noise"
 TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 KEYS = ["source_column", "index"]
 CENTROID_BLOCK = 20_000
+TASK_CHARS = 8_000_000
 
 
 @dataclass(frozen=True)
@@ -69,40 +71,23 @@ def document_words(text: Column, options: TermOptions) -> Column:
     return words
 
 
-def word_ngrams(words: Column, low: int, high: int) -> Column:
-    """All n-grams of one text, each made of the shorter one and the word after it."""
-    grams, parts = words, []
-    for n in range(1, high + 1):
-        if n > 1:
-            count = F.greatest(F.size(words) - (n - 1), F.lit(0))
-            grams = F.zip_with(
-                F.slice(grams, F.lit(1), count), F.slice(words, F.lit(n), count),
-                lambda a, b: F.concat(a, F.lit(" "), b),
-            )
-        if n >= low:
-            parts.append(grams)
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
-
-
-def document_terms(docs: DataFrame, options: TermOptions) -> DataFrame:
-    """(topic_id, term): n-grams do not cross from one text into the next."""
-    words = docs.select("topic_id", document_words(F.col("text"), options).alias("words"))
-    return words.select("topic_id", F.explode(word_ngrams(F.col("words"), *options.ngram_range)).alias("term"))
-
-
 def topic_terms_count(docs: DataFrame, options: TermOptions = TermOptions()) -> DataFrame:
-    """(topic_id, term, n, topics): how often each topic uses a term.
+    """(topic_id, term, n, topics): how often each topic uses a term; n-grams do not cross from one text into the next.
 
     The document thresholds count topics, because all texts of a topic together are one document.
     """
-    counts = (
-        document_terms(docs, options).groupBy("topic_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    )
-    size = docs.agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("topic_id").alias("topics")).first()
+    size = docs.agg(
+        F.count(F.lit(1)).alias("docs"), F.count_distinct("topic_id").alias("topics"), F.sum(F.length("text")).alias("chars")
+    ).first()
     low = options.min_df if options.min_df is not None else (2 if size["docs"] >= 20 else 1)
     low = low * size["topics"] if isinstance(low, float) else low
     high = size["topics"] if options.max_df is None else options.max_df
     high = high * size["topics"] if isinstance(high, float) else high
+    words = docs.select("topic_id", document_words(F.col("text"), options).alias("words"))
+    found = batch_gram_counts(words.where("words is not null"), "topic_id", *options.ngram_range)
+    # One shuffle, by term, serves both the sums and the windows; a task gets the terms of a bounded number of characters.
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-(size["chars"] or 0) // TASK_CHARS))
+    counts = found.repartition(parts, "term").groupBy("topic_id", "term").agg(F.sum("n").alias("n"))
     # At most one row per topic and term is in each of these windows.
     used = counts.withColumn("topics", F.count(F.lit(1)).over(Window.partitionBy("term")))
     return used.where((F.col("topics") >= F.lit(low)) & (F.col("topics") <= F.lit(high)))
