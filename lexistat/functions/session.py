@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +27,24 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The frame written as Parquet to the checkpoint folder and read again; the files go when the driver ends.
+
+    A checkpoint keeps the estimated size of its plan, and joins multiply estimates: round by round their digits
+    grow without end on the driver. The size of a file is its own.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may be closed already; the folder then stays for its owner to clear
+        return
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
