@@ -20,15 +20,24 @@ from lexistat.functions.sums import matrix
 
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 4096
+TILE_ROWS, TILE_COLUMNS = 32, 1024
 SLACK = 1e-9  # keeps pairs at the bound when a distance is rounded
 
 
 def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Pairwise distances of two blocks; cosine inputs are unit vectors, so euclidean orders them."""
     if metric == "manhattan":
-        out = np.empty((len(a), len(b)))
-        for start in range(0, len(a), 64):
-            out[start:start + 64] = np.abs(a[start:start + 64, None, :] - b[None, :, :]).sum(axis=2)
+        out, across = np.zeros((len(a), len(b)), a.dtype), np.ascontiguousarray(b.T)
+        for top in range(0, len(a), TILE_ROWS):
+            rows = a[top:top + TILE_ROWS]
+            for left in range(0, len(b), TILE_COLUMNS):  # a tile of the result stays in the cache for all dimensions
+                part = out[top:top + TILE_ROWS, left:left + TILE_COLUMNS]
+                total, step = np.zeros(part.shape, a.dtype), np.empty(part.shape, a.dtype)
+                for d in range(a.shape[1]):
+                    np.subtract(rows[:, d, None], across[d, left:left + TILE_COLUMNS], out=step)
+                    np.abs(step, out=step)
+                    total += step
+                part[:] = total
         return out
     squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     return np.sqrt(np.maximum(squared, 0.0))
@@ -55,23 +64,37 @@ def assign_cells(points: DataFrame, pivots: np.ndarray, metric: str) -> DataFram
     return points.mapInPandas(assign, f"{schema}, cell int, gap double")
 
 
-def reachable_cells(
-    points: DataFrame, pivots: np.ndarray, reach: np.ndarray, metric: str, columns: list[str]
-) -> DataFrame:
-    """One row per vector and cell i with distance(vector, pivot i) <= reach[i]."""
+def cell_groups(pivots: np.ndarray, rows: np.ndarray, most: int) -> np.ndarray:
+    """The group of each cell: cells that lie together, up to about `most` rows; a larger cell is a group of its own."""
+    group, number, open_ = np.zeros(len(pivots), dtype=np.int64), 0, [np.arange(len(pivots))]
+    while open_:
+        at = open_.pop()
+        if len(at) == 1 or rows[at].sum() <= most:
+            group[at] = number
+            number += 1
+            continue
+        axis = int(np.ptp(pivots[at], axis=0).argmax())
+        at = at[np.argsort(pivots[at, axis], kind="stable")]
+        ends = np.cumsum(rows[at])
+        cut = min(max(1, int(np.searchsorted(ends, ends[-1] / 2, "right"))), len(at) - 1)
+        open_ += [at[cut:], at[:cut]]
+    return group
+
+
+def reachable_groups(points: DataFrame, pivots: np.ndarray, reach: np.ndarray, metric: str, group: np.ndarray) -> DataFrame:
+    """Add `cells`: the groups with a cell i where distance(vector, pivot i) <= reach[i]. A vector stays one row."""
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.diff(group[order], prepend=-1))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                gap = distances(matrix(batch["vector"]), pivots, metric)
-                row, cell = np.nonzero(gap <= reach[None, :] + SLACK)
-                yield batch.iloc[row][columns].assign(cell=cell)
-
-    kept = [f for f in points.schema.fields if f.name in columns]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-    ordered = points.select("vector", *[f.name for f in kept if f.name != "vector"])
-    names = [f.name for f in kept]
-    return ordered.mapInPandas(emit, f"{schema}, cell int").select(*names, "cell")
+                near = distances(matrix(batch["vector"]), pivots, metric) <= reach[None, :] + SLACK
+                held = np.logical_or.reduceat(near[:, order], starts, axis=1)
+                yield batch.assign(cells=[np.flatnonzero(row).astype(np.int32) for row in held])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
+    return points.mapInPandas(emit, f"{schema}, cells array<int>")
 
 
 def block_pairs(

@@ -13,15 +13,19 @@ from lexistat.operators.cells import (
     SLACK,
     assign_cells,
     block_pairs,
+    cell_groups,
     distances,
     pick_pivots,
-    reachable_cells,
+    reachable_groups,
 )
 from lexistat.operators.descent import approximate_neighbours
 from lexistat.operators.stack import first_rows_of
 
 METRICS = ("cosine", "euclidean", "manhattan")
 METHODS = ("exact", "approximate")
+GROUPS = 32  # groups of cells that a vector is sent to before groups grow with the rows
+LARGEST = 8  # blocks of rows in a group that has grown
+PIECE = 2_000_000  # distances that a task holds at once
 
 
 def distinct_vectors(df: DataFrame, key: str, vector: str, metric: str) -> tuple[DataFrame, DataFrame]:
@@ -86,21 +90,33 @@ def knn_graph(
 
 
 def _exact_neighbours(points: DataFrame, n: int, k: int, metric: str, seed: int, block_rows: int) -> DataFrame:
-    """(id, other, distance): at least the k nearest other points of each point."""
+    """(id, other, distance): at least the k nearest other points of each point.
+
+    Cells that lie together form groups, and a vector goes once to each group it can reach. Where it can reach most
+    of them, as in many dimensions, groups grow with the rows, so that a vector is sent to a bounded number.
+    """
     pivots = pick_pivots(points, n, seed)
     placed = assign_cells(points, pivots, metric).persist()
-    partners = _possible_partners(points, placed, pivots, k, metric)
-    return _nearest_in_cells(points, placed, partners, k, metric, block_rows)
+    reach, rows = _reach(placed, pivots, k, metric)
+    group = cell_groups(pivots, rows, block_rows)
+    partners = reachable_groups(points, pivots, reach, metric, group)
+    largest = min(n // GROUPS, LARGEST * block_rows)
+    if largest > block_rows and partners.agg(F.avg(F.size("cells"))).first()[0] > GROUPS:
+        block_rows = largest
+        group = cell_groups(pivots, rows, block_rows)
+        partners = reachable_groups(points, pivots, reach, metric, group)
+    homes = placed.sparkSession.createDataFrame(list(enumerate(group.tolist())), "cell int, home int")
+    owners = placed.join(F.broadcast(homes), "cell").select("id", "vector", F.col("home").alias("cell"))  # a row per pivot
+    return _nearest_in_cells(
+        owners, partners.select("id", "vector", F.explode("cells").alias("cell")), k, metric, block_rows
+    )
 
 
-def _possible_partners(
-    points: DataFrame, placed: DataFrame, pivots: np.ndarray, k: int, metric: str
-) -> DataFrame:
-    """Each point in every cell where it may be among the k nearest of some point."""
-    radius = np.zeros(len(pivots))
-    counted = placed.groupBy("cell").agg(F.max("gap").alias("far")).collect()
-    for row in counted:
-        radius[row["cell"]] = row["far"]
+def _reach(placed: DataFrame, pivots: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """How far from each pivot the k nearest points of the points of its cell can lie, and the rows of each cell."""
+    radius, rows = np.zeros(len(pivots)), np.zeros(len(pivots), dtype=np.int64)
+    for row in placed.groupBy("cell").agg(F.max("gap").alias("far"), F.count(F.lit(1)).alias("rows")).collect():
+        radius[row["cell"]], rows[row["cell"]] = row["far"], row["rows"]
     closest = first_rows_of(
         placed.select("cell", "gap"), ["cell"], [F.col("gap")], k + 1
     ).collect()  # at most (k + 1) numbers per pivot
@@ -112,27 +128,44 @@ def _possible_partners(
     for i in range(len(pivots)):
         upper = np.sort(radius[i] + between[i, cell] + gap)
         bound[i] = upper[k] if len(upper) > k else np.inf
-    return reachable_cells(points, pivots, radius + bound, metric, ["id", "vector"])
+    return radius + bound, rows
 
 
 def _nearest_in_cells(
-    points: DataFrame, placed: DataFrame, partners: DataFrame, k: int, metric: str, block_rows: int
+    owners: DataFrame, partners: DataFrame, k: int, metric: str, block_rows: int
 ) -> DataFrame:
     def nearest(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
-        gaps = distances(matrix(one["vector"]), matrix(two["vector"]), metric)
+        asked, held = matrix(one["vector"]), matrix(two["vector"])
         left, right = one["id"].to_numpy(), two["id"].to_numpy()
-        gaps[left[:, None] == right[None, :]] = np.inf
-        keep = min(k, gaps.shape[1])
-        # All partners up to the k-th distance, so that ties are settled by key later.
-        edge = np.partition(gaps, keep - 1, axis=1)[:, keep - 1]
-        row, col = np.nonzero((gaps <= edge[:, None]) & np.isfinite(gaps))
-        return pd.DataFrame({"id": left[row], "other": right[col], "distance": gaps[row, col]})
-
-    kind = points.schema["id"].dataType.simpleString()
-    found = block_pairs(
-        placed.select("id", "vector", "cell"), partners, nearest,
-        f"id {kind}, other {kind}, distance double", block_rows,
-    )
+        # An id may stand for several vectors: as many places more.
+        keep = min(k * int(np.unique(right, return_counts=True)[1].max()), len(right))
+        step, parts = max(1, PIECE // len(right)), []
+        # Sums of absolute differences are taken in half the digits first; whatever rounding leaves open is summed anew.
+        size = max(np.abs(asked).sum(1).max(), np.abs(held).sum(1).max())
+        short = metric == "manhattan" and size < 1e30
+        slack = 2 * size * (asked.shape[1] + 4) * 2.0**-23 if short else 0.0
+        brief = held.astype(np.float32) if short else held
+
+        def closest(rows: slice, to: np.ndarray, more: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """All partners up to the k-th distance (and `more`), so that ties are settled by key later."""
+            gaps = distances(asked[rows].astype(to.dtype), to, metric)
+            gaps[left[rows, None] == right[None, :]] = np.inf
+            edge = np.partition(gaps, keep - 1, axis=1)[:, keep - 1].astype(float) + more
+            row, col = np.nonzero((gaps <= edge[:, None]) & np.isfinite(gaps))
+            return row + rows.start, col, gaps[row, col]
+
+        for top in range(0, len(left), step):
+            rows = slice(top, top + step)
+            row, col, gap = closest(rows, brief, slack)
+            if short and len(row) > 16 * keep * step:  # rounding leaves too much open
+                row, col, gap = closest(rows, held, 0.0)
+            elif short:
+                gap = np.abs(asked[row] - held[col]).sum(1)
+            parts.append(pd.DataFrame({"id": left[row], "other": right[col], "distance": gap}))
+        return pd.concat(parts, ignore_index=True)
+
+    kind = owners.schema["id"].dataType.simpleString()
+    found = block_pairs(owners, partners, nearest, f"id {kind}, other {kind}, distance double", block_rows)
     window = Window.partitionBy("id").orderBy("distance", "other")
     return (
         found.groupBy("id", "other").agg(F.min("distance").alias("distance")).withColumn("r", F.row_number().over(window)).where(F.col("r") <= k)
