@@ -12,6 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexistat.functions.session import cut_lineage
 from lexistat.functions.sums import matrix
 from lexistat.functions.text import VISIBLE_PATTERN, one_line, shorten, strip_accents
 from lexistat.functions.vectors import dot, l2_norm
@@ -27,6 +28,7 @@ TERM_PATTERN = r"[\p{L}\p{N}_]{2,}"
 KEYS = ["source_column", "index"]
 CENTROID_BLOCK = 20_000
 TASK_CHARS = 8_000_000
+SENT_TOPICS = 100_000  # topics up to which a number of each is sent to all tasks
 
 
 @dataclass(frozen=True)
@@ -102,6 +104,8 @@ def ctfidf(counts: DataFrame, reduce_frequent_words: bool = True) -> DataFrame:
     totals = counts.groupBy("topic_id").agg(F.sum("n").alias("terms"))
     whole = totals.agg(F.sum("terms").alias("s"), F.count(F.lit(1)).alias("k")).first()
     mean_terms = float(int((whole["s"] or 0) / (whole["k"] or 1)))
+    # Merged by topic, one task would sort all terms of a large topic.
+    totals = F.broadcast(totals) if whole["k"] <= SENT_TOPICS else totals
     share = F.col("n") / F.col("terms")
     tf = F.sqrt(share) if reduce_frequent_words else share
     corpus = F.sum("n").over(Window.partitionBy("term"))
@@ -120,7 +124,10 @@ def top_terms(scores: DataFrame, n: int = 10) -> DataFrame:
 
 
 def topic_labels(topic_ids: DataFrame, best: DataFrame, max_terms: int = 3) -> DataFrame:
-    """(topic_id, topic_label, top_terms) for every topic id."""
+    """(topic_id, topic_label, top_terms) for every topic id.
+
+    Written and read again, so that the planner knows how small they are: texts are not dealt by topic to be labelled.
+    """
     listed = best.groupBy("topic_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda t: t["term"])
         .alias("terms")
@@ -132,10 +139,10 @@ def topic_labels(topic_ids: DataFrame, best: DataFrame, max_terms: int = 3) -> D
         .when(F.size("terms") > 0, F.concat(number, F.lit(": "), few))
         .otherwise(number)
     )
-    return topic_ids.select("topic_id").distinct().join(listed, "topic_id", "left").select(
+    return cut_lineage(topic_ids.select("topic_id").distinct().join(listed, "topic_id", "left").select(
         "topic_id", label.alias("topic_label"),
         F.coalesce(F.array_join("terms", ", "), F.lit("")).alias("top_terms"),
-    )
+    ))
 
 
 def topic_centroids(docs: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -232,3 +232,16 @@ def test_small_topic_fit_runs_end_to_end(spark):
     fitted = topics.fit_topics(df, "pca", 2, min_cluster_size=2, min_samples=1)
     groups = {r["index"]: r["topic_id"] for r in fitted.collect()}
     assert len(groups) == 6 and groups[0] == groups[1] and groups[2] == groups[3] and groups[4] == groups[5]
+
+
+def test_topics_are_joined_without_dealing_rows_by_topic(spark):
+    docs = spark.createDataFrame(
+        [("s", i, f"alpha{i % 3} beta word{i}", i % 3) for i in range(30)],
+        "source_column string, index bigint, text string, topic_id int")
+    scores = topics.ctfidf(topics.topic_terms_count(docs, topics.TermOptions(max_df=None, min_df=1)))
+    labels = topics.topic_labels(docs, topics.top_terms(scores, 3))
+    for made in (scores, topics.topic_assignments(docs, labels)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert sorted((r["topic_id"], r["n"]) for r in topics.topic_assignments(docs, labels).groupBy("topic_label", "topic_id")
+                  .agg(F.count(F.lit(1)).alias("n")).collect()) == [(0, 10), (1, 10), (2, 10)]
