@@ -3,7 +3,8 @@
 Documents are dealt into batches by a hash of their rows. Each batch asks for the counts of its distinct n-grams:
 the requests are partitioned by the hash of the n-gram, where a bucket adds up the counts of all batches, and the
 answers are joined back to their batch. Only distinct n-grams of a batch with their counts are shuffled, so a word
-or n-gram of a third of all text is one row for each batch.
+or n-gram of a third of all text is one row for each batch. Keys travel as their sorted differences, and differences
+and counts as compressed byte planes, since few of their bytes say anything.
 
 S(w | context) = count(context w) / count(context) if count(context w) >= least, else 0.4 S(w | shorter context);
 a single word has count / words of the corpus. Counts are those of all documents.
@@ -19,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexistat.llm.frames import col
-from lexistat.llm.jaccard import by_bucket
 from lexistat.llm.words import U64, Words, mix, text_bytes, window_hashes
 
 ORDER = 3
@@ -27,6 +27,8 @@ BACKOFF = 0.4
 LEAST = 2
 BATCH_BYTES = 8_000_000
 BUCKET_BYTES = 4_000_000
+PLANES = 6  # bytes of a number that is sent: of a key within its bucket, or a count
+MOST = 2**32 - 1  # counts beyond it are sent as this
 
 
 def grams(words: Words, order: int) -> list[np.ndarray]:
@@ -42,6 +44,20 @@ def grams(words: Words, order: int) -> list[np.ndarray]:
     return out
 
 
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers below 2**48 byte by byte, lowest bytes of all first, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :PLANES].T)
+    return pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def widen(packed: bytes, many: int) -> np.ndarray:
+    """The `many` numbers that `squeeze` made into bytes."""
+    out = np.zeros((many, 8), np.uint8)
+    if many:
+        out[:, :PLANES].T[:] = np.frombuffer(pa.decompress(packed, many * PLANES, codec="zstd"), np.uint8).reshape(PLANES, many)
+    return out.view("<u8").ravel()
+
+
 def log_scores(keys: list[np.ndarray], counts: list[np.ndarray], total: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """(natural logarithm of the score, order used) of each word."""
     score, used = np.log(np.maximum(counts[0], 1) / max(total, 1)), np.ones(len(counts[0]), np.int64)
@@ -81,39 +97,40 @@ def score_documents(
         """For each bucket the distinct keys of a batch (sorted) and their counts; bucket -1 has its words."""
         words, _, _, (found, times) = keys_of(table)
         rest = (found << U64(bits)) >> U64(16)
-        rows = list(by_bucket(found >> U64(64 - bits), rest.astype("<u4"), (rest >> U64(32)).astype("<u2"), times.astype("<u4")))
-        rows.append((-1, [b"", b"", np.array([len(words.start)], "<u8").tobytes()]))
+        owner = (found >> U64(64 - bits)).astype(np.int64)  # rises with the keys
+        edges = np.append(np.flatnonzero(np.diff(owner, prepend=-1)), len(owner))
+        rows = [(-1, len(words.start), b"", b"")]
+        for a, b in zip(edges, edges[1:]):
+            own = rest[a:b]
+            rows.append((int(owner[a]), int(b - a), squeeze(np.diff(own, prepend=U64(0))), squeeze(np.minimum(times[a:b], U64(MOST)))))
         batch = table.column("batch")[0].as_py()
         return pa.table({
-            "bucket": pa.array([k for k, _ in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int32()),
-            "low": pa.array([v[0] for _, v in rows], pa.binary()), "high": pa.array([v[1] for _, v in rows], pa.binary()),
-            "times": pa.array([v[2] for _, v in rows], pa.binary()),
+            "bucket": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int32()),
+            "many": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary()),
+            "times": pa.array([r[3] for r in rows], pa.binary()),
         })
 
     def answer(table: pa.Table) -> pa.Table:
-        """The counts of each batch's keys over all batches, in the order asked."""
+        """The counts of each batch's keys over all batches, in the order asked; bucket -1 has the words of all."""
+        many = table.column("many").to_numpy()
         if table.column("bucket")[0].as_py() < 0:
-            total = sum(int(np.frombuffer(x, "<u8")[0]) for x in table.column("times").to_pylist())
-            sums = [np.array([total], "<u8").tobytes()] * table.num_rows
+            many, sums = np.full(len(many), many.sum()), [b""] * len(many)
         else:
-            low = [np.frombuffer(x, "<u4") for x in table.column("low").to_pylist()]
-            key = np.concatenate(low).astype(U64)
-            key |= np.frombuffer(b"".join(table.column("high").to_pylist()), "<u2").astype(U64) << U64(32)
-            times = np.frombuffer(b"".join(table.column("times").to_pylist()), "<u4")
+            key = np.concatenate([np.cumsum(widen(x, n), dtype=U64) for x, n in zip(table.column("keys").to_pylist(), many)])
+            times = np.concatenate([widen(x, n) for x, n in zip(table.column("times").to_pylist(), many)])
             _, inverse = np.unique(key, return_inverse=True)
-            counts = np.bincount(inverse, weights=times).astype("<u8")[inverse]
-            counts = np.minimum(counts, 0xFFFFFFFF).astype("<u4")
-            ends = np.cumsum([len(x) for x in low])
-            sums = [counts[e - len(x) : e].tobytes() for x, e in zip(low, ends)]
+            counts = np.bincount(inverse, weights=times).astype(U64)[inverse]
+            counts, ends = np.minimum(counts, U64(MOST)), np.cumsum(many)
+            sums = [squeeze(counts[e - n : e]) for n, e in zip(many, ends)]
         return pa.table({"batch": table.column("batch").cast(pa.int32()), "bucket": table.column("bucket").cast(pa.int32()),
-                         "counts": pa.array(sums, pa.binary())})
+                         "many": pa.array(many, pa.int64()), "counts": pa.array(sums, pa.binary())})
 
     def score(rows: pa.Table, answers: pa.Table) -> pa.Table:
         words, keys, inverse, _ = keys_of(rows)
         order_of = np.argsort(answers.column("bucket").to_numpy(), kind="stable")
-        parts = answers.column("counts").to_pylist()
-        total = int(np.frombuffer(parts[order_of[0]], "<u8")[0])
-        counts = np.frombuffer(b"".join(parts[i] for i in order_of[1:]), "<u4").astype(np.float64)[inverse]
+        parts, many = answers.column("counts").to_pylist(), answers.column("many").to_numpy()
+        total = int(many[order_of[0]])
+        counts = np.concatenate([np.zeros(0, U64)] + [widen(parts[i], many[i]) for i in order_of[1:]]).astype(np.float64)[inverse]
         counts = counts.reshape(order, -1)
         scores, used = log_scores(keys, list(counts), total, least)
         most = np.sum([k > 0 for k in keys], axis=0)
@@ -128,7 +145,7 @@ def score_documents(
             "n_backed_off": off[words.first[1:]] - off[words.first[:-1]],
         })
 
-    asked = dealt.groupBy("batch").applyInArrow(ask, "bucket int, batch int, low binary, high binary, times binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "batch int, bucket int, counts binary")
+    asked = dealt.groupBy("batch").applyInArrow(ask, "bucket int, batch int, many bigint, keys binary, times binary")
+    answers = asked.groupBy("bucket").applyInArrow(answer, "batch int, bucket int, many bigint, counts binary")
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
         score, "doc_id bigint, n_words bigint, log_score double, n_backed_off bigint")

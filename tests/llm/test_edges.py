@@ -419,3 +419,35 @@ def test_pipeline_stages(spark, docs, none, tmp_path):
             assert ids == set()
     assert {i for i, _ in clean} | {1, 9, 10, 18} <= ids
     assert not ids & {2, 3, 4, 5, 6, 7, 11, 12, 15, 17, 71}
+
+
+def test_lm_scoring_sends_few_bytes_for_a_key():
+    rng = np.random.default_rng(5)
+    keys = np.sort(rng.integers(0, 2**48, 20_000, dtype=np.uint64))
+    gaps, times = np.diff(keys, prepend=np.uint64(0)), rng.geometric(0.8, 20_000).astype(np.uint64)
+    packed = lmscore.squeeze(gaps), lmscore.squeeze(times)
+    assert len(packed[0]) < 5 * len(keys) and len(packed[1]) < len(keys) // 2
+    assert (np.cumsum(lmscore.widen(packed[0], 20_000), dtype=np.uint64) == keys).all()
+    assert (lmscore.widen(packed[1], 20_000) == times).all()
+    edge = np.array([0, 1, 255, 256, 2**32 - 1, 2**48 - 1], np.uint64)
+    assert (lmscore.widen(lmscore.squeeze(edge), 6) == edge).all()
+    assert len(lmscore.widen(lmscore.squeeze(edge[:0]), 0)) == 0
+
+
+def test_few_encodings_are_held_together():
+    encoder = Encoder(vocabulary_path("word_bpe_49k.json"))
+    texts = pa.array([f"a{i} b{i * 7}" for i in range(6000)])
+    whole, first = encoder.encode(texts)
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.most = tokenizer, 0
+
+        def encode_batch_fast(self, pieces, **options):
+            self.most = max(self.most, len(pieces))
+            return self.tokenizer.encode_batch_fast(pieces, **options)
+
+    again = Encoder(vocabulary_path("word_bpe_49k.json"))
+    again.tokenizer = Counted(again.tokenizer)
+    ids, ends = again.encode(texts)
+    assert (ids == whole).all() and (ends == first).all() and again.tokenizer.most <= 4096
