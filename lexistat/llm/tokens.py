@@ -18,6 +18,7 @@ import pyarrow as pa
 from lexistat.llm.words import IS_SPACE, ranges, text_bytes
 
 CACHE_BYTES = 128_000_000
+AT_ONCE = 4096  # pieces whose encodings are held together
 ENTRY_BYTES = 180  # of a dictionary entry and its two objects, besides their content
 IS_LETTER, IS_MARK = np.zeros(256, bool), np.zeros(256, bool)
 IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -48,12 +49,13 @@ def cut_places(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(cut), n)
 
 
-def worker_encoder(path: str) -> Encoder:
-    """The encoder of this Python worker. Spark reuses workers for many tasks; functions are sent by value, so
-    what a worker keeps lies in a module of its own, and known pieces serve later tasks too."""
+def worker_encoder(path: str, most: int = CACHE_BYTES) -> Encoder:
+    """The encoder of this Python worker, which keeps about `most` bytes of pieces. Spark reuses workers for many
+    tasks; functions are sent by value, so what a worker keeps lies in a module of its own, and known pieces serve
+    later tasks too."""
     kept = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker")).__dict__
     if path not in kept:
-        kept[path] = Encoder(path)
+        kept[path] = Encoder(path, most)
     return kept[path]
 
 
@@ -79,9 +81,11 @@ class Encoder:
         known, old = self.known, self.old
         fresh = [p for p in pieces if p not in known]
         new = [p for p in fresh if p not in old]
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         added = {p: old[p] for p in fresh if p in old}
-        added.update(zip(new, (array("I", e.ids).tobytes() for e in found)))
+        for at in range(0, len(new), AT_ONCE):  # an encoding takes many times the memory of its ids
+            some = new[at : at + AT_ONCE]
+            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            added.update(zip(some, (array("I", e.ids).tobytes() for e in found)))
         known.update(added)
         self.size += ENTRY_BYTES * len(added) + sum(map(len, added)) + sum(map(len, added.values()))
         out = [known[p] for p in pieces]
