@@ -23,9 +23,7 @@ from lexistat.llm.words import batches
 
 CAPACITY = 4096
 END_ID = 1
-# A pipeline packs in workers and executors that its earlier stages have filled: less is kept and held than alone.
-KEPT_BYTES = 64_000_000
-HELD_BYTES = 1_000_000
+HELD_BYTES = 1_000_000  # of text at once: a pipeline packs in executors that its earlier stages have filled
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -123,7 +121,7 @@ def token_pieces(
     fields = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(vocabulary, KEPT_BYTES)
+        encoder = worker_encoder(vocabulary)
         for part in batches(parts, "text", HELD_BYTES):
             ids, first = encoder.encode(part.column("text"))
             length = np.diff(first) + 1
