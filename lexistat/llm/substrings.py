@@ -35,6 +35,7 @@ PIECE = 64
 HOT = 4096  # runs of an anchor from which on they are cut into windows
 HOT_BITS = 1 << 22
 BATCH_BYTES = 8_000_000
+COUNT_BYTES = 2_000_000  # counts of a batch are small, so smaller batches send little more
 
 
 def runs(words: Words, hashed: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
@@ -90,7 +91,8 @@ def anchor_filter(docs: DataFrame, window: int, bits: int, hot: int) -> tuple[np
     repeat, often = Filter(bits, REPEAT_BITS), Filter(bits, HOT_BITS)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches(parts, "text", BATCH_BYTES):
+        forget_pieces()
+        for part in batches(parts, "text", COUNT_BYTES):
             words = Words(*text_bytes(part.column("text")))
             anchors, times = np.unique(runs(words, words.hashes(), window)[3], return_counts=True)
             rows = list(by_bucket(anchors >> U64(64 - bits), rest_of(anchors, bits), times.astype(np.uint32)))

@@ -61,6 +61,7 @@ def worker_encoder(path: str) -> Encoder:
 def forget_pieces() -> None:
     """Let go of what this worker kept; called where a worker turns to another operator with large arrays."""
     sys.modules.pop("_kept_by_worker", None)
+    pa.default_memory_pool().release_unused()
 
 
 class Encoder:

@@ -455,3 +455,43 @@ def test_few_encodings_are_held_together():
     again.tokenizer = Counted(again.tokenizer)
     ids, ends = again.encode(texts)
     assert (ids == whole).all() and (ends == first).all() and again.tokenizer.most <= 4096
+
+
+def test_anchors_are_counted_in_small_batches():
+    import sys
+    import tracemalloc
+    from types import ModuleType
+
+    import pyarrow as pa
+
+    given = []
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def groupBy(self, *columns):
+            return self
+
+        def collect(self):
+            return []
+
+        def mapInArrow(self, function, fields):
+            given.append(function)
+            return self
+
+        def applyInArrow(self, function, fields):
+            return self
+
+    substrings.anchor_filter(Frame(), 13, 4, substrings.HOT)
+    texts = [" ".join(f"w{(i * 7919 + j * j) % 50021}" for j in range(1500)) for i in range(800)]
+    part = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    sys.modules["_kept_by_worker"] = ModuleType("_kept_by_worker")
+    tracemalloc.start()
+    try:
+        total = sum(len(times) // 4 for out in given[0](iter([part])) for times in out.column("times").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total > 100_000 and peak < 60_000_000  # 8 MB of text at once took twice as much
+    assert "_kept_by_worker" not in sys.modules  # what packing kept goes first
