@@ -10,15 +10,19 @@ from __future__ import annotations
 import os
 import sys
 from array import array
+from bisect import bisect_left
+from operator import itemgetter
 from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
 
+from lexistat.llm.frames import SPACES
 from lexistat.llm.words import IS_SPACE, ranges, text_bytes
 
 CACHE_BYTES = 128_000_000
 AT_ONCE = 4096  # pieces whose encodings are held together
+JOINED = 32  # pieces encoded as one text
 ENTRY_BYTES = 180  # of a dictionary entry and its two objects, besides their content
 IS_LETTER, IS_MARK = np.zeros(256, bool), np.zeros(256, bool)
 IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -75,22 +79,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.old, self.size, self.most = Tokenizer.from_file(path), {}, {}, 0, most // 2
+        self.with_offsets = self.tokenizer.encode_batch
 
     def ids_of(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece as little-endian unsigned 32-bit numbers."""
         known, old = self.known, self.old
-        fresh = [p for p in pieces if p not in known]
-        new = [p for p in fresh if p not in old]
-        added = {p: old[p] for p in fresh if p in old}
-        for at in range(0, len(new), AT_ONCE):  # an encoding takes many times the memory of its ids
-            some = new[at : at + AT_ONCE]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            added.update(zip(some, (array("I", e.ids).tobytes() for e in found)))
-        known.update(added)
-        self.size += ENTRY_BYTES * len(added) + sum(map(len, added)) + sum(map(len, added.values()))
-        out = [known[p] for p in pieces]
-        if self.size > self.most:
-            self.known, self.old, self.size = {}, known, 0
+        out = list(map(known.get, pieces))
+        missed = [i for i, ids in enumerate(out) if ids is None]
+        if missed:
+            fresh = [pieces[i] for i in missed]
+            again = list(map(old.get, fresh))
+            new = [p for p, ids in zip(fresh, again) if ids is None]
+            made = iter(self.fresh_ids(new))
+            added = [next(made) if ids is None else ids for ids in again]
+            known.update(zip(fresh, added))
+            for i, ids in zip(missed, added):
+                out[i] = ids
+            self.size += ENTRY_BYTES * len(added) + sum(map(len, fresh)) + sum(map(len, added))
+            if self.size > self.most:
+                self.known, self.old, self.size = {}, known, 0
+        return out
+
+    def fresh_ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces that are not kept.
+
+        An encoding costs more than its few ids, so pieces from white space to a visible ASCII character are encoded
+        many as one text, which is cut between them in any case; the offset of an id tells its piece.
+        """
+        out: list[bytes] = [b""] * len(pieces)
+        whole = [i for i, p in enumerate(pieces) if p[0] in SPACES and "!" <= p[-1] <= "~"]
+        alone = sorted(set(range(len(pieces))).difference(whole))
+        for at in range(0, len(alone), AT_ONCE):  # an encoding takes many times the memory of its ids
+            some = alone[at : at + AT_ONCE]
+            found = self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)
+            for i, e in zip(some, found):
+                out[i] = array("I", e.ids).tobytes()
+        for at in range(0, len(whole), AT_ONCE):
+            some = whole[at : at + AT_ONCE]
+            groups = [[pieces[i] for i in some[a : a + JOINED]] for a in range(0, len(some), JOINED)]
+            found = self.with_offsets(["".join(g) for g in groups], add_special_tokens=False)
+            rows = iter(some)
+            for group, e in zip(groups, found):
+                ids = array("I", e.ids).tobytes()
+                first = list(map(itemgetter(0), e.offsets))
+                begin, used = 0, 0
+                for piece in group:
+                    begin += len(piece)
+                    till = bisect_left(first, begin, used)
+                    out[next(rows)] = ids[4 * used : 4 * till]
+                    used = till
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +139,8 @@ class Encoder:
         pieces = pa.Array.from_buffers(
             pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
         ).dictionary_encode()
-        values = self.ids_of(pieces.dictionary.to_pylist())
+        values = self.ids_of(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         length = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        start = np.cumsum(length) - length
         flat = np.frombuffer(b"".join(values), "<u4")
-        at = pieces.indices.to_numpy()
-        ids = flat[ranges(start[at], start[at] + length[at])]
-        ends = np.append(0, np.cumsum(length[at]))
-        return ids, ends[np.searchsorted(cuts, offsets)]
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(length))), pa.array(flat)).take(pieces.indices)
+        return lists.values.to_numpy(), lists.offsets.to_numpy()[np.searchsorted(cuts, offsets)]

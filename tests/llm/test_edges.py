@@ -457,6 +457,37 @@ def test_few_encodings_are_held_together():
     assert (ids == whole).all() and (ends == first).all() and again.tokenizer.most <= 4096
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_fresh_pieces_share_few_encodings(name):
+    import pyarrow as pa
+
+    from lexistat.llm.tokens import Encoder
+
+    tail = " x\u0301 a\u0301~ \u0130b \u6f22~\n\ny <|endoftext|> it's, don't.\x0b 12"
+    texts = [f"W{i} a{i} thing{i * 7}~ {i}.{tail}{i}" for i in range(3000)]
+    encoder = Encoder(vocabulary_path(name))
+    plain = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    class Counted:
+        def __init__(self, encode):
+            self.encode, self.texts, self.most = encode, 0, 0
+
+        def __call__(self, texts, **options):
+            self.texts, self.most = self.texts + len(texts), max(self.most, len(texts))
+            return self.encode(texts, **options)
+
+    class Alone:
+        def __init__(self, tokenizer):
+            self.encode_batch_fast = Counted(tokenizer.encode_batch_fast)
+
+    encoder.with_offsets, encoder.tokenizer = Counted(encoder.with_offsets), Alone(encoder.tokenizer)
+    ids, ends = encoder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == plain
+    # Each text starts with a piece of its own and ends with one of its own; about 9,000 others lie between.
+    assert 9000 < len(encoder.known) and encoder.with_offsets.most <= 4096
+    assert encoder.with_offsets.texts + encoder.tokenizer.encode_batch_fast.texts < 6000
+
+
 def test_anchors_are_counted_in_small_batches():
     import sys
     import tracemalloc
