@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lexistat.llm.components import components
 from lexistat.llm.frames import col, settle
 from lexistat.llm.shingles import shingle_sets
-from lexistat.llm.tokens import forget_pieces
+from lexistat.llm.tokens import forget_pieces, release_unused
 from lexistat.llm.words import U64, batches, mix, ranges
 
 PERCENT = 80
@@ -119,6 +119,7 @@ def frequency_filters(docs: DataFrame, text: str, bits: int) -> tuple[np.ndarray
                 pa.array([k for k, _ in rows], pa.int32()), pa.array([v[0] for _, v in rows], pa.binary()),
                 pa.array([v[1] for _, v in rows], pa.binary()),
             ], ["bucket", "rest", "times"])
+        release_unused()
 
     def mark(table: pa.Table) -> pa.Table:
         rest, times = joined(table, "rest", np.uint32), joined(table, "times", np.uint32)

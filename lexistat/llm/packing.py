@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexistat.functions.ranks import hash_order, number_by_hash
-from lexistat.llm.frames import col, settle
-from lexistat.llm.tokens import worker_encoder
+from lexistat.llm.frames import arrow_rows, col, settle
+from lexistat.llm.tokens import release_unused, worker_encoder
 from lexistat.llm.words import batches
 
 CAPACITY = 4096
 END_ID = 1
 HELD_BYTES = 1_000_000  # of text at once: a pipeline packs in executors that its earlier stages have filled
+HELD_ROWS = 1000  # sent to a Python worker at once
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -90,10 +91,11 @@ def pack(pieces: DataFrame, length: str, keys: list[str], capacity: int = CAPACI
     wrong = [n for n in histogram if n is None or not 1 <= n <= capacity]
     if wrong:
         raise ValueError(f"lengths must be 1 to {capacity}, not {wrong[0]}")
-    places = pieces.sparkSession.createDataFrame(
-        plan_rows(plan_bins(histogram, capacity)),
-        "its_length bigint, first bigint, after bigint, copies bigint, sequence bigint, place bigint",
-    )
+    plan = np.array(plan_rows(plan_bins(histogram, capacity)), np.int64).reshape(-1, 6)
+    # An Arrow table: rows of Python objects would be pickled anew by workers of their own, which then stay.
+    places = pieces.sparkSession.createDataFrame(pa.table({
+        name: plan[:, i] for i, name in enumerate(["its_length", "first", "after", "copies", "sequence", "place"])
+    }))
     ordered = pieces.withColumn("_order", hash_order("pack", *[col(k) for k in keys]))
     ranked = number_by_hash(ordered, "_order", keys, [length], "_rank").withColumn("_rank", F.col("_rank") - 1)
     # The plan has a few rows for each of the lengths, so its size does not grow with the documents.
@@ -143,11 +145,14 @@ def token_pieces(
                 columns.append(pa.array([x.astype(np.int32) for x in made], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        release_unused()
 
     return docs.select(col(doc_id).cast("bigint").alias("doc_id"), col(text).alias("text")).mapInArrow(cut, fields)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of all documents with their places: sequence_id and offset."""
-    return pack(settle(token_pieces(docs, vocabulary, capacity=capacity, end_id=end_id)), "length",
-                ["doc_id", "piece", "ids_crc32"], capacity)
+    pieces = token_pieces(docs, vocabulary, capacity=capacity, end_id=end_id)
+    with arrow_rows(docs.sparkSession, HELD_ROWS):
+        pieces = settle(pieces)
+    return pack(pieces, "length", ["doc_id", "piece", "ids_crc32"], capacity)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lexistat.llm.automaton import Automaton
 from lexistat.llm.frames import col, free_name, settle
 from lexistat.llm.jaccard import Filter, REPEAT_BITS, bucket_bits, by_bucket, joined, rest_of
-from lexistat.llm.tokens import forget_pieces
+from lexistat.llm.tokens import forget_pieces, release_unused
 from lexistat.llm.words import U64, Words, batches, mix, ranges, text_bytes, window_hashes
 
 WINDOW = 13
@@ -100,6 +100,7 @@ def anchor_filter(docs: DataFrame, window: int, bits: int, hot: int) -> tuple[np
                 pa.array([k for k, _ in rows], pa.int32()), pa.array([v[0] for _, v in rows], pa.binary()),
                 pa.array([v[1] for _, v in rows], pa.binary()),
             ], ["bucket", "rest", "times"])
+        release_unused()
 
     def mark(table: pa.Table) -> pa.Table:
         rest, times = joined(table, "rest", np.uint32), joined(table, "times", np.uint32)
@@ -219,6 +220,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))
             ], ["bucket", "words", "asked", "known"])
+        release_unused()
 
     def match(table: pa.Table) -> pa.Table:
         found = matched(joined(table, "words", U64), joined(table, "asked", np.int64).reshape(-1, 5), window)

@@ -7,10 +7,12 @@ pieces, joined, are the ids of the text; equal pieces are encoded once for each
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 from array import array
 from bisect import bisect_left
+from contextlib import suppress
 from operator import itemgetter
 from types import ModuleType
 
@@ -65,7 +67,14 @@ def worker_encoder(path: str) -> Encoder:
 def forget_pieces() -> None:
     """Let go of what this worker kept; called where a worker turns to another operator with large arrays."""
     sys.modules.pop("_kept_by_worker", None)
+    release_unused()
+
+
+def release_unused() -> None:
+    """Give back what this worker has freed: an idle worker otherwise keeps the most that any of its tasks held."""
     pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only glibc has this call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Encoder:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pathlib
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +15,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from lexistat.llm import decontaminate, jaccard, lmscore, packing, quality, sharding, substrings, tokenfiles
-from lexistat.llm.frames import shared_path
+from lexistat.llm.frames import arrow_rows, shared_path
 from lexistat.llm.tokens import vocabulary_path
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -526,3 +529,46 @@ def test_anchors_are_counted_in_small_batches():
         tracemalloc.stop()
     assert total > 100_000 and peak < 60_000_000  # 8 MB of text at once took twice as much
     assert "_kept_by_worker" not in sys.modules  # what packing kept goes first
+
+
+def test_places_are_planned_without_python_workers(spark):
+    pieces = spark.range(5).selectExpr("id doc_id", "id * 700 + 300 length")
+    packed = packing.pack(pieces, "length", ["doc_id"])
+    assert "PythonRDD" not in packed._jdf.queryExecution().toRdd().toDebugString()
+    rows = packed.collect()
+    assert len(rows) == 5 and len({r["sequence_id"] for r in rows}) == 3
+
+
+def test_text_goes_to_the_encoder_in_small_parts(spark):
+    name, held = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError), arrow_rows(spark, 1000):
+        held.append(int(spark.conf.get(name)))
+        raise ValueError
+    assert held == [min(1000, int(before))] and spark.conf.get(name) == before
+    settled = packing.settle
+    packing.settle = lambda df: held.append(int(spark.conf.get(name))) or settled(df)
+    try:
+        docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
+        assert packing.pack_documents(docs, vocabulary_path("word_bpe_49k.json")).count() == 2
+    finally:
+        packing.settle = settled
+    assert held[1] <= packing.HELD_ROWS
+
+
+def test_a_worker_gives_back_what_a_task_has_freed():
+    program = r'''
+import re
+from lexistat.llm.tokens import release_unused
+def held():
+    return int(re.search(r"^Rss:\s+(\d+)", open("/proc/self/smaps_rollup").read(), re.M)[1])
+parts = [bytes(20_000) for _ in range(6_000)]
+kept = [bytes(100_000) for _ in range(3)]
+full = held()
+del parts
+release_unused()
+print(full - held())
+'''
+    root = pathlib.Path(packing.__file__).parents[2]
+    done = subprocess.run([sys.executable, "-c", program], cwd=root, capture_output=True, text=True, check=True)
+    assert int(done.stdout) > 80_000
