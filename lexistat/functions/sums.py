@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark import TaskContext
 from pyspark.ml.stat import Summarizer
@@ -53,3 +55,14 @@ def table_sums(df: DataFrame, accumulate: Accumulate) -> np.ndarray:
 def matrix(column: pd.Series) -> np.ndarray:
     """A batch of ARRAY cells as one float64 matrix."""
     return np.stack([np.asarray(v, dtype=np.float64) for v in column.to_numpy()])
+
+
+def arrow_matrix(column: pa.Array) -> np.ndarray:
+    """An Arrow batch of ARRAY cells as one float64 matrix, without an object for each row."""
+    sizes = pc.unique(pc.list_value_length(column)).to_pylist()
+    if not sizes:
+        return np.zeros((0, 0))
+    if len(sizes) > 1 or sizes[0] is None:
+        raise ValueError("vectors must have one length and must not be null")
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return values.reshape(len(column), sizes[0])

@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from lexistat.functions.sums import arrow_matrix
 from lexistat.operators import neighbours
-from lexistat.operators.descent import approximate_neighbours
+from lexistat.operators.descent import _met_neighbours, _orders, approximate_neighbours
 
 
 def clustered(spark, n, dims=16, seed=1):
@@ -51,3 +53,22 @@ def test_recall_is_counted_against_all_rows(spark):
     wrong = exact.where("key <> 20 or place = 1")
     counted = neighbours.neighbour_recall(wrong, rows, rows.where("id % 10 = 0"), 2, "id", metric="euclidean")
     assert sorted(map(tuple, counted.collect())) == [(0, 2, 2), (10, 2, 2), (20, 1, 1), (30, 2, 2), (40, 2, 2)]
+
+
+def test_vectors_of_an_arrow_batch_become_a_matrix():
+    rows = pa.array([[1.0, 2.0], [3.0, None], [5.0, 6.0]])
+    np.testing.assert_array_equal(arrow_matrix(rows), [[1, 2], [3, np.nan], [5, 6]])
+    np.testing.assert_array_equal(arrow_matrix(rows.slice(2)), [[5, 6]])
+    assert arrow_matrix(pa.array([[], []], pa.list_(pa.float64()))).shape == (2, 0)
+    for wrong in ([[1.0], None], [[1.0], [2.0, 3.0]]):
+        with pytest.raises(ValueError):
+            arrow_matrix(pa.array(wrong, pa.list_(pa.float64())))
+
+
+def test_neighbourhoods_are_compared_in_arrow_batches(spark):
+    _, points = clustered(spark, 100)
+    graph = spark.createDataFrame([(0, 1, 0.5, True)], "id bigint, other bigint, distance double, fresh boolean")
+    for found in (_met_neighbours(graph, points, 10, "euclidean"),
+                  _orders(points, 100, points.select("id", "vector").limit(5).toPandas(), 10, "euclidean", 1, range(1), 32)):
+        plan = found._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "MapInPandas" not in plan
