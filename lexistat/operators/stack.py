@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexistat.functions.ranks import quoted
 from lexistat.functions.text import is_usable
 
 UNNAMED = "<unnamed>"
+KEYS = ("source_column", "index")
 TOPIC_COLUMNS = ("topic_id", "topic_label", "topic_probability", "is_outlier")
 
 
@@ -95,17 +99,23 @@ def _colored(df: DataFrame, number: Column, label: Column, mode: str) -> DataFra
     )
 
 
+def _join_partners(plot: DataFrame, assignments: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on keys, a missing one being equal to a missing one; those of `assignments` get a leading underscore."""
+    partners = assignments.withColumnsRenamed({c: f"_{c}" for c in keys})
+    return plot.join(partners, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]), how)
+
+
 def alignment_errors(plot: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Rows of either table without an equal (source_column, index, text) in the other."""
+    """Rows of either table without an equal (source_column, index, text) in the other; null equals null."""
     left = plot.select("source_column", "index", F.col("text").alias("plot_text"), F.lit(1).alias("in_plot"))
     right = assignments.select(
         "source_column", "index", F.col("text").alias("assigned_text"), F.lit(1).alias("in_assigned")
     )
-    both = left.join(right, ["source_column", "index"], "full_outer")
+    both = _join_partners(left, right, KEYS, "full_outer")
     return both.where(
         "in_plot IS NULL OR in_assigned IS NULL OR NOT (plot_text <=> assigned_text)"
     ).select(
-        "source_column", "index",
+        *[F.coalesce(c, f"_{c}").alias(c) for c in KEYS],
         F.when(F.col("in_plot").isNull(), "missing in plot")
         .when(F.col("in_assigned").isNull(), "missing in assignments")
         .otherwise("text differs").alias("problem"),
@@ -113,16 +123,23 @@ def alignment_errors(plot: DataFrame, assignments: DataFrame) -> DataFrame:
 
 
 def merge_topic_assignments(plot: DataFrame, assignments: DataFrame, check: bool = True) -> DataFrame:
-    """Topic columns on the projection rows; every row must have its partner."""
+    """Topic columns on the projection rows; every row must have its partner, of rows with one key the one with its text."""
     for c in TOPIC_COLUMNS:
         if c not in assignments.columns:
             raise ValueError(f"assignments are missing required column '{c}'")
+    keys = KEYS
     if check:
         wrong = alignment_errors(plot, assignments).limit(1).collect()
         if wrong:
-            raise ValueError(f"plot and assignments must align: {wrong[0]['problem']}")
-    topics = assignments.select("source_column", "index", *TOPIC_COLUMNS)
-    return plot.join(topics, ["source_column", "index"])
+            keys = (*KEYS, "text")
+            one, two = plot.select(*keys, F.lit(1).alias("in_plot")), assignments.select(*keys, F.lit(1).alias("in_assigned"))
+            alone = _join_partners(one, two, keys, "full_outer").where("in_plot IS NULL OR in_assigned IS NULL")
+            if not alone.isEmpty():
+                raise ValueError(f"plot and assignments must align: {wrong[0]['problem']}")
+    topics = assignments.select(*keys, *TOPIC_COLUMNS)
+    rest = plot.drop(*KEYS).columns
+    ordered = plot.select(*KEYS, *[F.col(quoted(c)) for c in rest])
+    return _join_partners(ordered, topics, keys, "inner").drop(*[f"_{c}" for c in keys])
 
 
 def union_results(parts: Sequence[DataFrame]) -> DataFrame:

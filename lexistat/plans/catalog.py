@@ -164,7 +164,8 @@ def _assignments(spark, sf):
 
 @query
 def merge_topic_assignments(spark, sf):
-    plot = document_texts(spark, sf).withColumn("dim_1", F.length("text").cast("double"))
+    # Every document has an assignment, also one without a usable text or a language.
+    plot = topic_texts(spark, sf).select("source_column", "index", "text").withColumn("dim_1", F.length("text").cast("double"))
     merged = stack.merge_topic_assignments(plot, _assignments(spark, sf))
     return merged.select("source_column", "index", "dim_1", "topic_id", "topic_label", "is_outlier")
 
