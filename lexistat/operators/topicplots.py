@@ -77,24 +77,32 @@ def heatmap_data(weights: DataFrame, topics: DataFrame | None = None) -> DataFra
 
     A figure has one cell for each pair, so the result has one row for each; a pair without a common feature,
     or with a topic whose vector is zero, has similarity 0. Sums are taken for one order of a pair.
+
+    Norms are written and read again, so that the planner knows how small they are: weights are not dealt by topic.
+    The topics of a feature are listed beside each of them, without a shuffle where weights are dealt by feature already.
     """
-    norms = weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    unit = weights.join(norms, "topic_id").select(
+    norms = cut_lineage(
+        weights.groupBy("topic_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
+    )
+    unit = weights.where("feature IS NOT NULL").join(norms, "topic_id").select(
         "topic_id", "feature", F.coalesce(F.try_divide("weight", "norm"), F.lit(0.0)).alias("w")
     )
-    left = unit.select(F.col("topic_id").alias("topic_a"), "feature", F.col("w").alias("x"))
-    right = unit.select(F.col("topic_id").alias("topic_b"), "feature", F.col("w").alias("y"))
-    shared = left.join(right, "feature").where("topic_a <= topic_b").groupBy("topic_a", "topic_b").agg(
-        F.sum(F.col("x") * F.col("y")).alias("similarity")
+    held = F.collect_list(F.struct("topic_id", "w")).over(Window.partitionBy("feature"))  # at most one for each topic
+    met = unit.withColumn("held", held).select("topic_id", "w", F.explode("held").alias("other"))
+    met = met.where(F.col("topic_id") <= F.col("other.topic_id"))
+    shared = met.groupBy(F.col("topic_id").alias("topic_a"), F.col("other.topic_id").alias("topic_b")).agg(
+        F.sum(F.col("w") * F.col("other.w")).alias("similarity")
     )
-    shown = (weights if topics is None else topics).agg(F.sort_array(F.collect_set("topic_id")).alias("ids"))
+    shown = (norms if topics is None else topics).agg(F.sort_array(F.collect_set("topic_id")).alias("ids"))
     cells = shown.select(F.explode("ids").alias("topic_a"), "ids").select(
         "topic_a", F.explode("ids").alias("topic_b")
     ).where("topic_a <= topic_b")
     half = cells.join(shared, ["topic_a", "topic_b"], "left").select(
         "topic_a", "topic_b", F.coalesce("similarity", F.lit(0.0)).alias("similarity")
     )
-    return half.union(half.where("topic_a < topic_b").select("topic_b", "topic_a", "similarity"))
+    there = F.struct("topic_a", "topic_b", "similarity")
+    back = F.struct(F.col("topic_b").alias("topic_a"), F.col("topic_a").alias("topic_b"), "similarity")
+    return half.select(F.inline(F.when(F.col("topic_a") < F.col("topic_b"), F.array(there, back)).otherwise(F.array(there))))
 
 
 def hierarchy_data(similarities: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
