@@ -21,6 +21,8 @@ from lexistat.functions.sums import matrix
 MAX_PIVOTS = 1024
 BLOCK_ROWS = 4096
 TILE_ROWS, TILE_COLUMNS = 32, 1024
+WHOLE_ROWS, WHOLE_COLUMNS = 64, 2048  # a tile of 16-bit numbers
+LEAST_STEPS = 64  # steps over the widest dimension below which whole numbers settle too little
 SLACK = 1e-9  # keeps pairs at the bound when a distance is rounded
 
 
@@ -43,6 +45,37 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(np.maximum(squared, 0.0))
 
 
+def whole_numbers(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Both blocks in equal steps from 0, so few that a sum over all dimensions has 16 bits; None if steps are too coarse.
+
+    A difference of two numbers is off by at most one step, so manhattan distances are by at most one for each dimension.
+    """
+    most = 65_535 // max(1, a.shape[1])
+    if not LEAST_STEPS <= most < 65_535:
+        return None
+    low = np.minimum(a.min(0), b.min(0))
+    step = (np.maximum(a.max(0), b.max(0)) - low).max() / most
+    if not 1e-300 < step < np.inf:
+        return None
+    return np.rint((a - low) / step).astype(np.uint16), np.rint((b - low) / step).astype(np.uint16)
+
+
+def whole_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Manhattan distances of whole numbers, less a number for each row: |x - y| is x + y less twice the smaller one."""
+    out, across = np.empty((len(a), len(b)), np.int32), np.ascontiguousarray(b.T)
+    sums = b.sum(1, dtype=np.int32)
+    for top in range(0, len(a), WHOLE_ROWS):
+        rows = a[top:top + WHOLE_ROWS]
+        for left in range(0, len(b), WHOLE_COLUMNS):
+            part = out[top:top + WHOLE_ROWS, left:left + WHOLE_COLUMNS]
+            total, step = np.zeros(part.shape, np.uint16), np.empty(part.shape, np.uint16)
+            for d in range(a.shape[1]):
+                np.minimum(rows[:, d, None], across[d, left:left + WHOLE_COLUMNS], out=step)
+                total += step
+            np.subtract(sums[left:left + WHOLE_COLUMNS], np.multiply(total, 2, dtype=np.int32), out=part)
+    return out
+
+
 def pick_pivots(points: DataFrame, n: int, seed: int = 42, most: int = MAX_PIVOTS) -> np.ndarray:
     """About the square root of n vectors, at most `most`, in hash order of their ids."""
     m = max(1, min(most, math.isqrt(n)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -17,6 +19,8 @@ from lexistat.operators.cells import (
     distances,
     pick_pivots,
     reachable_groups,
+    whole_numbers,
+    whole_order,
 )
 from lexistat.operators.descent import approximate_neighbours
 from lexistat.operators.stack import first_rows_of
@@ -140,27 +144,45 @@ def _nearest_in_cells(
         # An id may stand for several vectors: as many places more.
         keep = min(k * int(np.unique(right, return_counts=True)[1].max()), len(right))
         step, parts = max(1, PIECE // len(right)), []
-        # Sums of absolute differences are taken in half the digits first; whatever rounding leaves open is summed anew.
+        # Sums of absolute differences are taken in fewer digits first; whatever rounding leaves open is summed anew.
         size = max(np.abs(asked).sum(1).max(), np.abs(held).sum(1).max())
-        short = metric == "manhattan" and size < 1e30
-        slack = 2 * size * (asked.shape[1] + 4) * 2.0**-23 if short else 0.0
-        brief = held.astype(np.float32) if short else held
-
-        def closest(rows: slice, to: np.ndarray, more: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """All partners up to the k-th distance (and `more`), so that ties are settled by key later."""
-            gaps = distances(asked[rows].astype(to.dtype), to, metric)
-            gaps[left[rows, None] == right[None, :]] = np.inf
-            edge = np.partition(gaps, keep - 1, axis=1)[:, keep - 1].astype(float) + more
-            row, col = np.nonzero((gaps <= edge[:, None]) & np.isfinite(gaps))
+        ways: list[tuple[Callable[[slice], np.ndarray], float]] = [(lambda rows: distances(asked[rows], held, metric), 0.0)]
+        if metric == "manhattan" and size < 1e30:
+            brief = held.astype(np.float32)
+            ways.append((lambda rows: distances(asked[rows].astype(np.float32), brief, metric),
+                         2 * size * (asked.shape[1] + 4) * 2.0**-23))
+            if (whole := whole_numbers(asked, held)) is not None:
+                ways.append((lambda rows: whole_order(whole[0][rows], whole[1]), 2 * asked.shape[1] + 1))
+
+        def closest(rows: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """All partners up to the k-th distance (and what rounding adds), so that ties are settled by key later."""
+            measure, slack = ways[-1]
+            gaps = measure(rows)
+            far = np.inf if gaps.dtype.kind == "f" else np.iinfo(gaps.dtype).max
+            same = np.flatnonzero(np.isin(right, left[rows]))
+            at, twin = np.nonzero(left[rows, None] == right[None, same])
+            gaps[at, same[twin]] = far
+            edge = np.partition(gaps, keep - 1, axis=1)[:, keep - 1].astype(float) + slack
+            # Whole numbers are compared as such: an edge of `far` leaves out only `far` itself.
+            near = gaps <= (edge if far == np.inf else np.minimum(edge, far - 1).astype(gaps.dtype))[:, None]
+            if far == np.inf:
+                near &= np.isfinite(gaps)
+            row, col = np.divmod(np.flatnonzero(near), len(right))
             return row + rows.start, col, gaps[row, col]
 
         for top in range(0, len(left), step):
             rows = slice(top, top + step)
-            row, col, gap = closest(rows, brief, slack)
-            if short and len(row) > 16 * keep * step:  # rounding leaves too much open
-                row, col, gap = closest(rows, held, 0.0)
-            elif short:
+            row, col, gap = closest(rows)
+            while len(ways) > 1 and len(row) > 16 * keep * step:  # rounding leaves too much open
+                ways.pop()
+                row, col, gap = closest(rows)
+            if len(ways) > 1:
                 gap = np.abs(asked[row] - held[col]).sum(1)
+                order = np.lexsort((gap, row))
+                row, col, gap = row[order], col[order], gap[order]
+                last = np.minimum(np.searchsorted(row, row) + keep, np.searchsorted(row, row, "right")) - 1
+                near = gap <= gap[last]
+                row, col, gap = row[near], col[near], gap[near]
             parts.append(pd.DataFrame({"id": left[row], "other": right[col], "distance": gap}))
         return pd.concat(parts, ignore_index=True)
 
