@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexistat.functions.sums import matrix
-from lexistat.functions.vectors import as_double, l2_normalize
+from lexistat.functions.vectors import as_double, l2_norm, l2_normalize
 from lexistat.operators.cells import (
     SLACK,
     assign_cells,
@@ -32,15 +33,24 @@ LARGEST = 8  # blocks of rows in a group that has grown
 PIECE = 2_000_000  # distances that a task holds at once
 
 
-def distinct_vectors(df: DataFrame, key: str, vector: str, metric: str) -> tuple[DataFrame, DataFrame]:
+def distinct_vectors(
+    df: DataFrame, key: str, vector: str, metric: str, short: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(points, members): each different vector once, under the smallest key of its copies.
 
-    Copies are found by grouping, so a vector that a third of all rows share costs one row.
+    Copies are found by grouping, so a vector that a third of all rows share costs one row. If `short` is asked for, vectors in
+    single precision also stay as they are, with the number that divides them (`norm`).
     """
     value = l2_normalize(F.col(vector)) if metric == "cosine" else as_double(F.col(vector))
-    rows = df.select(F.col(key).alias("member"), value.alias("vector"))
-    points = rows.groupBy("vector").agg(F.min("member").alias("id")).select("id", "vector").persist()
-    return points, rows.join(points, "vector").select("id", "member")
+    rows = df.select(F.col(key).alias("member"), value.alias("vector"), F.col(vector).alias("short"))
+    if not short or df.schema[vector].dataType.elementType != T.FloatType():
+        points = rows.groupBy("vector").agg(F.min("member").alias("id")).select("id", "vector").persist()
+    else:
+        size = l2_norm(F.col("short")) if metric == "cosine" else F.lit(1.0)
+        points = rows.groupBy("vector").agg(F.min("member").alias("id"), F.first("short").alias("short")).select(
+            "id", "vector", "short", F.when(size > 0, size).otherwise(1.0).alias("norm")
+        ).persist()
+    return points, rows.select("member", "vector").join(points.select("id", "vector"), "vector").select("id", "member")
 
 
 def knn_graph(
@@ -60,7 +70,7 @@ def knn_graph(
         raise ValueError(f"metric must be one of: {', '.join(METRICS)}")
     if k < 1:
         raise ValueError("k must be at least 1")
-    points, members = distinct_vectors(df, key, vector, metric)
+    points, members = distinct_vectors(df, key, vector, metric, short=method == "approximate")
     n = points.count()
     if n == 0:
         return df.sparkSession.createDataFrame(

@@ -72,3 +72,21 @@ def test_neighbourhoods_are_compared_in_arrow_batches(spark):
                   _orders(points, 100, points.select("id", "vector").limit(5).toPandas(), 10, "euclidean", 1, range(1), 32)):
         plan = found._jdf.queryExecution().toString()
         assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_vectors_in_single_precision_are_sent_as_such(spark, metric):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 6)).astype(np.float32)
+    x[7], x[9] = 2 * x[8], 0.0  # a multiple, which is the same direction, and no direction
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id bigint, embedding array<float>")
+    points, _ = neighbours.distinct_vectors(df, "id", "embedding", metric, short=True)
+    for row in points.collect():
+        assert (np.array(row["short"], dtype=np.float32).astype(float) / row["norm"] == np.array(row["vector"])).all()
+    plan = _orders(points, 300, points.select("id", "vector").limit(5).toPandas(), 4, metric, 1, range(1), 32)
+    sent = [line for line in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "salt#" in line and "xxhash64" in line]
+    assert sent and all("short#" in line and "vector#" not in line for line in sent)
+    long = df.withColumn("embedding", df["embedding"].cast("array<double>"))
+    found, same = ({(r["key"], r["place"]): (r["neighbour"], r["distance"]) for r in
+                    neighbours.knn_graph(d, 3, "id", metric=metric, method="approximate").collect()} for d in (df, long))
+    assert found == same and len(found) == 900
